@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .arrow_output import read_token_files, write_to_scratch
 from .bpe import bpe_encode_decode
+from .simhash import simhash_classes
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -33,6 +34,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document: shingles of 4 words, 4 differing bits."""
+    out = simhash_classes(documents(spark, sf_dir), words=4, threshold=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all token ids as Arrow stream files and reads them back."""
     files = write_to_scratch(documents(spark, sf_dir), tokenizer_file(), end_id=2)
@@ -40,7 +47,7 @@ def op9_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op9_arrow_output": op9_arrow_output}
+    return {"op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op9_arrow_output": op9_arrow_output}
 
 
 def oracle_sql() -> dict[str, str]:
