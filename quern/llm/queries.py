@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .arrow_output import read_token_files, write_to_scratch
 from .bpe import bpe_encode_decode
+from .decontaminate import contamination
 from .simhash import simhash_classes
 
 
@@ -40,6 +41,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of 10 benchmark words."""
+    out = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.col("items").cast("array<string>"), ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"),
+    )
+
+
 def op9_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all token ids as Arrow stream files and reads them back."""
     files = write_to_scratch(documents(spark, sf_dir), tokenizer_file(), end_id=2)
@@ -47,7 +62,7 @@ def op9_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op9_arrow_output": op9_arrow_output}
+    return {"op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op7_decontaminate": op7_decontaminate, "op9_arrow_output": op9_arrow_output}
 
 
 def oracle_sql() -> dict[str, str]:
