@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .arrow_output import read_token_files, write_to_scratch
 from .bpe import bpe_encode_decode
 from .decontaminate import contamination
+from .line_dedup import line_dedup
 from .simhash import simhash_classes
 
 
@@ -55,6 +56,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of lines that stand earlier in the corpus."""
+    return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op9_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all token ids as Arrow stream files and reads them back."""
     files = write_to_scratch(documents(spark, sf_dir), tokenizer_file(), end_id=2)
@@ -62,7 +68,7 @@ def op9_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op7_decontaminate": op7_decontaminate, "op9_arrow_output": op9_arrow_output}
+    return {"op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op7_decontaminate": op7_decontaminate, "op8_line_dedup": op8_line_dedup, "op9_arrow_output": op9_arrow_output}
 
 
 def oracle_sql() -> dict[str, str]:
