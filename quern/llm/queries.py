@@ -11,6 +11,7 @@ from .arrow_output import read_token_files, write_to_scratch
 from .bpe import bpe_encode_decode
 from .decontaminate import contamination
 from .line_dedup import line_dedup
+from .secrets import joined_spans, secret_spans
 from .simhash import simhash_classes
 
 
@@ -42,6 +43,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong and linked secrets of every document."""
+    out = secret_spans(documents(spark, sf_dir))
+    strong = F.filter("spans", lambda s: s["kind"] <= 2)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined_spans(strong), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside windows of 10 benchmark words."""
     out = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -68,7 +77,7 @@ def op9_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op7_decontaminate": op7_decontaminate, "op8_line_dedup": op8_line_dedup, "op9_arrow_output": op9_arrow_output}
+    return {"op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op7_decontaminate": op7_decontaminate, "op8_line_dedup": op8_line_dedup, "op9_arrow_output": op9_arrow_output}
 
 
 def oracle_sql() -> dict[str, str]:
