@@ -11,6 +11,7 @@ from .arrow_output import read_token_files, write_to_scratch
 from .bpe import bpe_encode_decode
 from .decontaminate import contamination
 from .line_dedup import line_dedup
+from .pii import KINDS, pseudonymise
 from .secrets import joined_spans, secret_spans
 from .simhash import simhash_classes
 
@@ -26,6 +27,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Key of the registered query; a real corpus takes one from its key store.
+DEMO_KEY = "demonstration key"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers, dates and addresses as pseudonyms."""
+    out = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), DEMO_KEY)
+    return out.select("doc_id", *(F.coalesce(F.try_element_at("pii", F.lit(k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS), "text")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     out = bpe_encode_decode(documents(spark, sf_dir), tokenizer_file())
@@ -77,7 +88,7 @@ def op9_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op7_decontaminate": op7_decontaminate, "op8_line_dedup": op8_line_dedup, "op9_arrow_output": op9_arrow_output}
+    return {"op1_pii": op1_pii, "op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op7_decontaminate": op7_decontaminate, "op8_line_dedup": op8_line_dedup, "op9_arrow_output": op9_arrow_output}
 
 
 def oracle_sql() -> dict[str, str]:
