@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .arrow_output import read_token_files, write_to_scratch
 from .bpe import bpe_encode_decode
 from .decontaminate import contamination
+from .language_id import held_out, identify_language, learn_profiles
 from .line_dedup import line_dedup
 from .pii import KINDS, pseudonymise
 from .secrets import joined_spans, secret_spans
@@ -62,6 +63,13 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined_spans(strong), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    docs = documents(spark, sf_dir)
+    profiles = learn_profiles(docs.where(~held_out(F.col("doc_id"))))
+    return identify_language(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside windows of 10 benchmark words."""
     out = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -88,7 +96,7 @@ def op9_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op7_decontaminate": op7_decontaminate, "op8_line_dedup": op8_line_dedup, "op9_arrow_output": op9_arrow_output}
+    return {"op1_pii": op1_pii, "op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate, "op8_line_dedup": op8_line_dedup, "op9_arrow_output": op9_arrow_output}
 
 
 def oracle_sql() -> dict[str, str]:
