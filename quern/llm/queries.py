@@ -15,6 +15,7 @@ from .line_dedup import line_dedup
 from .pii import KINDS, pseudonymise
 from .secrets import joined_spans, secret_spans
 from .simhash import simhash_classes
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -95,8 +96,15 @@ def op9_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, learned from the labelled ones."""
+    docs = documents(spark, sf_dir)
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs.select("doc_id", "text"), model).select("doc_id", "severity", "grade", "toxic")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate, "op8_line_dedup": op8_line_dedup, "op9_arrow_output": op9_arrow_output}
+    return {"op1_pii": op1_pii, "op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate, "op8_line_dedup": op8_line_dedup, "op9_arrow_output": op9_arrow_output, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
