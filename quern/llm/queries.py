@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .arrow_output import read_token_files, write_to_scratch
 from .bpe import bpe_encode_decode
 from .decontaminate import contamination
+from .digest import edited_digests, exact_classes
 from .language_id import held_out, identify_language, learn_profiles
 from .line_dedup import line_dedup
 from .pii import KINDS, pseudonymise
 from .secrets import joined_spans, secret_spans
+from .shared import written
 from .simhash import simhash_classes
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -50,6 +52,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and its class of equal documents."""
+    docs = documents(spark, sf_dir)
+    prints = written(edited_digests(docs))
+    classes = exact_classes(docs, prints.select("doc_id", "fingerprint")).select(F.col("doc_id").alias("__d"), "class_id", "n_copies")
+    return prints.join(classes.distinct(), prints.doc_id.eqNullSafe(F.col("__d")), "left").drop("__d")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document: shingles of 4 words, 4 differing bits."""
     out = simhash_classes(documents(spark, sf_dir), words=4, threshold=4)
@@ -104,7 +114,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_bpe": op2_bpe, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate, "op8_line_dedup": op8_line_dedup, "op9_arrow_output": op9_arrow_output, "op10_toxicity": op10_toxicity}
+    return {"op1_pii": op1_pii, "op2_bpe": op2_bpe, "op3_digest": op3_digest, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate, "op8_line_dedup": op8_line_dedup, "op9_arrow_output": op9_arrow_output, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
