@@ -8,6 +8,10 @@ than the covering radius of the first one's nearest anchor. So each distinct fin
 its nearest anchor of either half as a resident, and to every anchor within covering radius plus
 t // 2 as a visitor; residents are compared with the visitors of their anchor, and no link is missed.
 
+For larger thresholds the bits are three blocks of 21 and 22 bits, each in a Golay code of its own
+with the missing bits zero; one of the blocks differs in at most t // 3 bits. Far pairs that agree by
+chance are then told from near copies by a second fingerprint, of other hash values, that travels along.
+
 What an anchor finds leaves it as spanning links, at most one for each fingerprint, so a large
 group of near copies makes a line of links for each member and not all pairs.
 """
@@ -31,16 +35,26 @@ from .shared import steps, texts_of, written
 #: Perfect codes as (length, generator polynomial, covering radius); fixed values.
 GOLAY = (23, 0b101011100011, 3)
 HAMMING = (7, 0b1011, 1)
-#: Bits of a half that are no code block.
-FREE = 2
+#: Parts of a fingerprint, each (lowest bit, bits in a Golay code, bits in a Hamming code, bits kept as they are).
+HALVES = ((0, 23, 7, 2), (32, 23, 7, 2))
+THIRDS = ((0, 21, 0, 0), (21, 21, 0, 0), (42, 22, 0, 0))
+#: Seed of the XXH64 values, and that of the second fingerprint.
+SEED, SECOND_SEED = 42, 43
 #: Pairs compared in one vectorised step.
 PAIRS = 2_000_000
 #: Residents of an anchor beyond which they are dealt to several tasks.
 RESIDENTS = 20_000
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The unsigned 64-bit SimHash of a whole text.
+def _majority(hashes: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 16384):
+        counts += np.unpackbits(hashes[at : at + 16384], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words: int = 4, seeds: tuple[int, ...] = (SEED,)) -> int | tuple[int, ...]:
+    """The unsigned 64-bit SimHash of a whole text, or one for each of several seeds.
 
     A-Z become lower case; words are runs without space, tab, line feed, vertical tab, form feed and
     carriage return; shingles of ``words`` words joined by a space count as often as they occur; a
@@ -49,31 +63,30 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     """
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return 0 if len(seeds) == 1 else (0,) * len(seeds)
     flat = b" ".join(found)
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(sizes + 1) - 1
     first, last = (ends - sizes)[: max(1, len(found) - words + 1)].tolist(), ends[min(words, len(found)) - 1 :].tolist()
+    shingles = [flat[a:b] for a, b in zip(first, last, strict=True)]
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(flat[a:b], 42) for a, b in zip(first, last, strict=True)]), np.uint8).reshape(-1, 8)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 16384):
-        counts += np.unpackbits(hashes[at : at + 16384], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+    got = tuple(_majority(np.frombuffer(b"".join([digest(x, seed) for x in shingles]), np.uint8).reshape(-1, 8)) for seed in seeds)
+    return got[0] if len(seeds) == 1 else got
 
 
-def simhash_fingerprints(docs: DataFrame, words: int = 4, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and ``fp`` (the fingerprint as a signed long), one row for each row of ``docs``.
+def simhash_fingerprints(docs: DataFrame, words: int = 4, text: str = "text", keep: tuple[str, ...] = ("doc_id",), second: bool = False) -> DataFrame:
+    """Columns ``keep``, ``fp`` (the fingerprint as a signed long) and, if asked for, ``fp2`` (the second one).
 
     Null, empty and blank texts give zero. Nothing is shuffled; one document is in memory at a time.
     """
     picked = docs.select(*keep, F.col(text).alias("__text"))
-    schema = T.StructType([*picked.drop("__text").schema.fields, T.StructField("fp", T.LongType())])
+    seeds = (SEED, SECOND_SEED)[: 1 + second]
+    schema = T.StructType([*picked.drop("__text").schema.fields, *(T.StructField(n, T.LongType()) for n in ("fp", "fp2")[: 1 + second])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "__text"):
-            got = np.array([fingerprint(t, words) for t in texts_of(b, "__text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got.view(np.int64))], names=schema.names)
+            got = np.array([fingerprint(t, words, seeds) for t in texts_of(b, "__text")], np.uint64).reshape(-1, len(seeds)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(got[:, k]) for k in range(len(seeds)))], names=schema.names)
 
     return picked.mapInArrow(run, schema)
 
@@ -125,29 +138,29 @@ def _codes(budget: int) -> tuple[Patterns, Patterns]:
     return Patterns(GOLAY, budget), Patterns(HAMMING, budget)
 
 
-def anchors_of(prints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors_of(prints: np.ndarray, threshold: int, parts: tuple = HALVES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, anchor and whether it is the nearest one, for all anchors that each fingerprint goes to."""
-    budget = threshold // 2
+    budget = threshold // len(parts)
     golay, hamming = _codes(budget)
     prints = prints.view(np.uint64)
-    flips = np.array([(x, bin(x).count("1")) for x in range(1 << FREE) if bin(x).count("1") <= budget], np.int64)
     out = []
-    for half in (0, 1):
-        bits = (prints >> np.uint64(32 * half) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        g, h, f = bits & (1 << 23) - 1, bits >> 23 & 127, bits >> 30
+    for n, (low, g_bits, h_bits, f_bits) in enumerate(parts):
+        bits = (prints >> np.uint64(low)).astype(np.uint64).view(np.int64)
+        g, h, f = bits & (1 << g_bits) - 1, bits >> g_bits & (1 << h_bits) - 1, bits >> (g_bits + h_bits) & (1 << f_bits) - 1
         s = golay.syndrome(g)
         row, at = _expand(golay.begin[s], golay.begin[s + 1] - golay.begin[s])
         word, over = (g[row] ^ golay.pattern[at]) >> golay.check, golay.over[at]
-        s = hamming.syndrome(h)[row]
-        k, at = _expand(hamming.begin[s], hamming.begin[s + 1] - hamming.begin[s])
-        over = over[k] + hamming.over[at]
-        ok = over <= budget
-        k, at, over = k[ok], at[ok], over[ok]
-        row, word = row[k], word[k] << 4 | (h[row[k]] ^ hamming.pattern[at]) >> hamming.check
-        for flip, weight in flips:
+        if h_bits:
+            s = hamming.syndrome(h)[row]
+            k, at = _expand(hamming.begin[s], hamming.begin[s + 1] - hamming.begin[s])
+            over = over[k] + hamming.over[at]
+            ok = over <= budget
+            k, at, over = k[ok], at[ok], over[ok]
+            row, word = row[k], word[k] << 4 | (h[row[k]] ^ hamming.pattern[at]) >> hamming.check
+        for flip in range(1 << f_bits):
+            weight = flip.bit_count()
             ok = over + weight <= budget
-            anchor = half << 18 | word[ok] << 2 | (f[row[ok]] ^ flip)
-            out.append((row[ok], anchor, over[ok] + weight == 0))
+            out.append((row[ok], n << 18 | word[ok] << f_bits | (f[row[ok]] ^ flip), over[ok] + weight == 0))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -170,7 +183,7 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[moved], values[label[moved]]
 
 
-def _compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _compare(anchor: np.ndarray, fp: np.ndarray, fp2: np.ndarray, home: np.ndarray, threshold: int, both: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Spanning links between residents and visitors of whole anchors (rows sorted by anchor)."""
     res = np.flatnonzero(home)
     lo, hi = (np.searchsorted(anchor, anchor[res], side) for side in ("left", "right"))
@@ -180,78 +193,83 @@ def _compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: in
     while start < len(res):
         stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, "right")))
         k, other = _expand(lo[start:stop], n[start:stop])
-        x, y = fp[res[start:stop]][k], fp[other]
-        hit = (np.bitwise_count(x ^ y) <= threshold) & (x != y)
-        if hit.any():
-            yield spanning(x[hit].view(np.int64), y[hit].view(np.int64))
+        apart = np.bitwise_count(fp[res[start:stop]][k] ^ fp[other])
+        hit = np.flatnonzero((apart <= threshold) & (apart > 0))
+        mine, other = res[start:stop][k[hit]], other[hit]
+        if both:
+            ok = apart[hit] + np.bitwise_count(fp2[mine] ^ fp2[other]) <= both
+            mine, other = mine[ok], other[ok]
+        if len(mine):
+            yield spanning(fp[mine].view(np.int64), fp[other].view(np.int64))
         start = stop
 
 
-def simhash_links(prints: DataFrame, threshold: int = 4) -> DataFrame:
-    """Links (``u``, ``v``) between distinct fingerprints ``fp`` at ``threshold`` or fewer differing bits:
-    enough of them to connect all that are linked."""
-    distinct = prints.select("fp").where("fp is not null").distinct()
+def simhash_links(prints: DataFrame, threshold: int = 4, parts: tuple = HALVES, both: int = 0) -> DataFrame:
+    """Links (``u``, ``v``) between distinct fingerprints ``fp`` at ``threshold`` or fewer differing bits, enough
+    of them to connect all that are linked. With ``both``, the bits that differ in ``fp`` and ``fp2`` together
+    are at most so many as well."""
+    distinct = prints.where("fp is not null").groupBy("fp").agg(F.min("fp2" if both else F.lit(0).cast("long")).alias("fp2"))
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0).to_numpy()
+            fp, fp2 = (b.column(k).to_numpy() for k in (0, 1))
             for at in range(0, len(fp), 2048):
-                part = fp[at : at + 2048]
-                row, anchor, home = anchors_of(part, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(part[row]), pa.array(home)], names=["anchor", "fp", "home"])
+                row, anchor, home = anchors_of(fp[at : at + 2048], threshold, parts)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(fp[at + row]), pa.array(fp2[at + row]), pa.array(home)], names=["anchor", "fp", "fp2", "home"])
+
+    def residents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, anchor, _ = anchors_of(b.column(0).to_numpy(), 0, parts)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32))], names=["anchor"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def flush(parts: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            for u, v in _compare(parts[0], parts[1].view(np.uint64), parts[2], threshold):
+        def flush(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            key, fp, fp2, home = rows
+            for u, v in _compare(key, fp.view(np.uint64), fp2.view(np.uint64), home, threshold, both):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for b in batches:
             if not b.num_rows:
                 continue
             key = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy().astype(np.int64)
-            held.append((key, b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)))
+            held.append((key, b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)))
             size += b.num_rows
             if size >= 200_000:
-                parts = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                last = int(np.searchsorted(parts[0], parts[0][-1]))  # the last anchor may go on
+                rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last anchor may go on
                 if last:
-                    yield from flush(tuple(x[:last] for x in parts))
-                held, size = [tuple(x[last:] for x in parts)], size - last
+                    yield from flush(tuple(x[:last] for x in rows))
+                held, size = [tuple(x[last:] for x in rows)], size - last
         if held:
             yield from flush(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    sent = distinct.mapInArrow(replicate, "anchor int, fp long, home boolean")
-    homes = distinct.mapInArrow(lambda it: (b for b in _homes(it, threshold)), "anchor int").groupBy("anchor").count().where(F.col("count") > RESIDENTS)
+    sent = distinct.mapInArrow(replicate, "anchor int, fp long, fp2 long, home boolean")
+    homes = distinct.select("fp").mapInArrow(residents, "anchor int").groupBy("anchor").count().where(F.col("count") > RESIDENTS)
     crowded = written(homes.select("anchor", F.ceil(F.col("count") / RESIDENTS).cast("int").alias("shares")))
     if crowded.isEmpty():
-        dealt = sent.select("anchor", F.lit(0).alias("share"), "fp", "home")
+        dealt = sent.select("anchor", F.lit(0).alias("share"), "fp", "fp2", "home")
     else:  # visitors go to every share of a crowded anchor, and count as residents in their own only
         share = F.pmod(F.hash("fp"), F.col("shares"))
-        dealt = sent.join(crowded, "anchor", "left").fillna(1, "shares").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("anchor", "share", "fp", (F.col("home") & (F.col("share") == share)).alias("home"))
+        dealt = sent.join(crowded, "anchor", "left").fillna(1, "shares").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("anchor", "share", "fp", "fp2", (F.col("home") & (F.col("share") == share)).alias("home"))
     return dealt.repartition(n, "anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(compare, "u long, v long")
 
 
-def _homes(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        _, anchor, home = anchors_of(b.column(0).to_numpy(), 0)
-        yield pa.RecordBatch.from_arrays([pa.array(anchor[home].astype(np.int32))], names=["anchor"])
-
-
-def simhash_classes(docs: DataFrame, words: int = 4, threshold: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def simhash_classes(docs: DataFrame, words: int = 4, threshold: int = 4, text: str = "text", doc_id: str = "doc_id", parts: tuple = HALVES, both: int = 0) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fp and component_id.
 
-    Fingerprints at ``threshold`` or fewer differing bits are linked, and component_id is the smallest
-    doc_id reachable over links, the document itself included. Copies share one fingerprint and meet
+    Fingerprints at ``threshold`` or fewer differing bits are linked (and, with ``both``, at so many or fewer
+    in two fingerprints together), and component_id is the smallest doc_id reachable over links, the document
+    itself included. Copies share one fingerprint and meet
     only in an aggregation. Blank texts share fingerprint zero. Null ids get a row and count for no
     minimum; repeated rows are kept; other columns are not read.
     """
-    prints = written(simhash_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words))
+    prints = written(simhash_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words, second=both > 0))
     smallest = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = simhash_links(prints, threshold)
+    links = simhash_links(prints, threshold, parts, both)
     roots = connected_components(links)
     joined = smallest.join(roots, smallest.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
