@@ -147,13 +147,13 @@ def learn_profiles(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str =
     return Profiles(languages, keys, places)
 
 
-def identify_language(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """The rows and columns of ``docs`` with ``lang_pred`` and ``score`` (which replace columns of these names).
+def identify_language(docs: DataFrame, profiles: Profiles, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows and columns of ``docs`` with the predicted language and its score, which replace columns of these names.
 
     Null texts and texts without a letter get UNKNOWN and score 0. Only the text is looked at.
     """
-    held = docs.drop("lang_pred", "score")
-    schema = T.StructType([*held.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    held = docs.drop(*names)
+    schema = T.StructType([*held.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     picked = held.withColumn("__text", F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -99,16 +99,16 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return listed.select("ord", "th", F.aggregate("ranges", start, merge).alias("runs"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows and columns of ``docs`` with repeated runs of lines cut out of the text, and ``n_lines``
-    and ``n_removed`` (which replace columns of these names).
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id", names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The rows and columns of ``docs`` with repeated runs of lines cut out of the text, and the numbers of
+    lines before and of lines removed, which replace columns of these ``names``.
 
     A run is cut if it has WINDOW lines or ``min_words`` words and all its lines stand earlier in the
     same neighbourhood; the earliest occurrence of every line stays. A null text stays null, an empty one
     empty. Rows that repeat both id and text count as one document and stay equal. Null ids come last in
     the order. A text may become empty; no row goes. Documents of any length are handled whole.
     """
-    held = docs.drop("n_lines", "n_removed").withColumns({"__ord": F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)), "__th": F.xxhash64(text)})
+    held = docs.drop(*names).withColumns({"__ord": F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)), "__th": F.xxhash64(text)})
     found = repeated_runs(held.select(F.col("__ord").alias("ord"), F.col("__th").alias("th"), F.col(text).alias("text")))
     runs = found.select(F.col("ord").alias("__o"), F.col("th").alias("__t"), F.col("runs").alias("__runs")).hint("shuffle_hash")
     both = held.join(runs, (F.col("__ord") == F.col("__o")) & (F.col("__th") == F.col("__t")), "left")
@@ -125,7 +125,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     changed = F.col("__cut").isNotNull() & (F.size("__cut") > 0)
     removed = F.aggregate("__cut", F.lit(0), lambda n, r: n + r["last"] - r["first"])
     return both.select(
-        *(F.when(changed, F.array_join(kept, "")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")),
-        F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
-        F.when(changed, removed).otherwise(0).cast("long").alias("n_removed"),
+        *(F.when(changed, F.array_join(kept, "")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns if c not in names),
+        F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long").alias(names[0]),
+        F.when(changed, removed).otherwise(0).cast("long").alias(names[1]),
     )
