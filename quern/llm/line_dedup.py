@@ -1,10 +1,10 @@
 """Operator 8: line deduplication by winnowing over line hashes.
 
-Only DataFrame functions. A line is a physical line or, inside one, a sentence: text is cut after
+Only DataFrame functions. Line hashes are computed once and stored as arrays. A line is a physical line or, inside one, a sentence: text is cut after
 each line break and after each full stop, exclamation or question mark with white space behind it.
 Of every WINDOW consecutive line hashes the smallest is selected as a fingerprint, and so is every
-long line by itself. A run of lines that occurs twice and has WINDOW lines or a long line therefore
-has a fingerprint in common, at the same place of the run. Each fingerprint's positions are joined
+long line by itself. A run of lines that occurs twice and has WINDOW lines or a long line is long
+enough, and has a fingerprint in common, at the same place of the run. Each fingerprint's positions are joined
 to its first one, in the order of (doc_id, hash of the text, position), and the match is extended
 both ways over the neighbouring hashes that travel with it. Fingerprints inside a run are at most
 WINDOW lines apart, so neighbours up to that distance close every gap. Runs that are long enough are
@@ -16,35 +16,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Lines in a window of fingerprint selection; also the lines that make a run long enough.
 WINDOW = 4
 #: Characters from which a line is a fingerprint by itself.
 LONG_CHARS = 100
-#: Words from which a run of fewer lines is long enough.
-MIN_WORDS = 30
-#: Where a line begins, other than at the start.
-BOUNDARY = r"(?<=[.!?][ \t]|\n)(?=\S)"
+#: What ends a line, if a character other than white space follows.
+LINE_END = r"([.!?][ \t]|\n)(?=\S)"
+#: A character that marks the ends; texts that hold it are cut by a slower expression with the same result.
+MARK = "\x01"
 
 
 def lines_of(text: Column) -> Column:
     """The lines of a text with their trailing white space; joined they give the text."""
-    return F.split(F.coalesce(text, F.lit("")), BOUNDARY)
+    text = F.coalesce(text, F.lit(""))
+    marked = F.split(F.regexp_replace(text, LINE_END, "$1" + MARK), MARK)
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, r"(?<=[.!?][ \t]|\n)(?=\S)")).otherwise(marked)
 
 
-def _trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r\n"))
+def _numbers(text: Column) -> Column:
+    """A hash for each line without its outer white space; the last bit tells whether the line is long."""
+    return F.transform(lines_of(text), lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\r\n"))).bitwiseAND(F.lit(-2)) + (F.length(x) >= LONG_CHARS).cast("long"))
 
 
 def _short(x: Column) -> Column:
     return x.bitwiseAND(F.lit(2**31 - 1)).cast("int")
 
 
-def _fingerprints(docs: DataFrame) -> DataFrame:
+def _fingerprints(hashed: DataFrame) -> DataFrame:
     """(ord, th, pos, hash, around): the selected positions of each document, with the hashes of the
     neighbours up to WINDOW lines away, shortened to 31 bits."""
-    lines = docs.select("ord", "th", lines_of(F.col("text")).alias("lines"))
-    hashed = lines.select("ord", "th", F.transform("lines", lambda x: F.xxhash64(_trimmed(x))).alias("hashes"), F.transform("lines", lambda x: F.length(x) >= LONG_CHARS).alias("long"))
-    each = hashed.select("ord", "th", "hashes", "long", F.posexplode("hashes").alias("pos", "hash"))
+    each = hashed.select("ord", "th", "hashes", F.posexplode("hashes").alias("pos", "hash"))
     n = F.size("hashes")
 
     def beats(step: int, k: int) -> Column:
@@ -59,7 +62,7 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
     for left in range(WINDOW):
         least = least | (beats(-1, left) & beats(1, WINDOW - 1 - left))
     alone = (n < WINDOW) & (F.col("hash") == F.array_min("hashes"))
-    chosen = each.where(F.get("long", F.col("pos")) | least | alone)
+    chosen = each.where((F.col("hash") % 2 != 0) | least | alone)
     around = F.slice("hashes", F.greatest(F.col("pos") - WINDOW + 1, F.lit(1)), F.least(F.col("pos"), F.lit(WINDOW)) + WINDOW + 1)
     return chosen.select("ord", "th", "pos", "hash", F.transform(around, _short).alias("around"))
 
@@ -71,12 +74,12 @@ def _agreement(a: Column, b: Column) -> Column:
     return F.when(at == 0, F.size(pairs)).otherwise(at - 1).cast("int")
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(ord, th, runs): for each document with any, the disjoint line ranges (first, last, end exclusive)
-    that occur earlier, before the test of their length. ``docs`` has ord, th and text."""
-    prints = _fingerprints(docs)
+def repeated_runs(hashed: DataFrame) -> DataFrame:
+    """(ord, th, runs): for each document with any, the disjoint line ranges (first, last, end exclusive; long)
+    that occur earlier and have WINDOW lines or a long one. ``hashed`` has ord, th and hashes."""
+    prints = _fingerprints(hashed)
     counted = prints.groupBy("hash").agg(F.count("*").alias("n"), F.min("ord").alias("least")).where("n > 1").select("hash", "least")
-    shared = prints.join(counted, "hash")
+    shared = written(prints.join(counted, "hash"))
     first = shared.where("ord = least").groupBy("hash").agg(F.min(F.struct("th", "pos", "around")).alias("f"))
     pairs = shared.join(first, "hash").where((F.col("ord") != F.col("least")) | (F.col("th") != F.col("f.th")) | (F.col("pos") != F.col("f.pos")))
 
@@ -87,45 +90,42 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         return F.slice(around, F.least(pos, F.lit(WINDOW)) + 2, F.lit(WINDOW))
 
     mine, other = (F.col("pos"), F.col("around")), (F.col("f.pos"), F.col("f.around"))
-    ranges = pairs.select("ord", "th", F.struct((F.col("pos") - _agreement(before(*mine), before(*other))).alias("first"), (F.col("pos") + 1 + _agreement(after(*mine), after(*other))).alias("last")).alias("r"))
-    listed = ranges.groupBy("ord", "th").agg(F.array_sort(F.collect_set("r")).alias("ranges"))
+    matched = pairs.select("ord", "th", "pos", "around", _agreement(before(*mine), before(*other)).alias("back"), _agreement(after(*mine), after(*other)).alias("on"))
+    inside = F.slice("around", F.least(F.col("pos"), F.lit(WINDOW)) + 1 - F.col("back"), F.col("back") + 1 + F.col("on"))
+    found = matched.select("ord", "th", F.struct((F.col("pos") - F.col("back")).alias("first"), (F.col("pos") + 1 + F.col("on")).alias("last"), F.exists(inside, lambda x: x % 2 != 0).alias("long")).alias("r"))
+    listed = found.groupBy("ord", "th").agg(F.array_sort(F.collect_set("r")).alias("ranges"))
 
     def merge(done: Column, r: Column) -> Column:
         top = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(top["first"].alias("first"), F.greatest(top["last"], r["last"]).alias("last"))))
-        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["last"] >= r["first"]), joined).otherwise(F.concat(done, F.array(r)))
+        joined = F.struct(top["first"].alias("first"), F.greatest(top["last"], r["last"]).alias("last"), (top["long"] | r["long"]).alias("long"))
+        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["last"] >= r["first"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(r)))
 
-    start = F.array().cast("array<struct<first:int,last:int>>")
-    return listed.select("ord", "th", F.aggregate("ranges", start, merge).alias("runs"))
+    start = F.array().cast("array<struct<first:int,last:int,long:boolean>>")
+    merged = listed.select("ord", "th", F.aggregate("ranges", start, merge).alias("runs"))
+    enough = merged.select("ord", "th", F.filter("runs", lambda r: r["long"] | (r["last"] - r["first"] >= WINDOW)).alias("runs"))
+    return enough.where(F.size("runs") > 0)
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id", names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """The rows and columns of ``docs`` with repeated runs of lines cut out of the text, and the numbers of
     lines before and of lines removed, which replace columns of these ``names``.
 
-    A run is cut if it has WINDOW lines or ``min_words`` words and all its lines stand earlier in the
-    same neighbourhood; the earliest occurrence of every line stays. A null text stays null, an empty one
-    empty. Rows that repeat both id and text count as one document and stay equal. Null ids come last in
-    the order. A text may become empty; no row goes. Documents of any length are handled whole.
+    A run is cut if it has WINDOW lines or a line of LONG_CHARS, and stands earlier; the earliest
+    occurrence of every line stays. A null text stays null, an empty one empty (one line). Rows that repeat both
+    id and text count as one document and stay equal. Null ids come last in the order. A text may
+    become empty; no row goes. Documents of any length are handled whole.
     """
     held = docs.drop(*names).withColumns({"__ord": F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)), "__th": F.xxhash64(text)})
-    found = repeated_runs(held.select(F.col("__ord").alias("ord"), F.col("__th").alias("th"), F.col(text).alias("text")))
-    runs = found.select(F.col("ord").alias("__o"), F.col("th").alias("__t"), F.col("runs").alias("__runs")).hint("shuffle_hash")
-    both = held.join(runs, (F.col("__ord") == F.col("__o")) & (F.col("__th") == F.col("__t")), "left")
-    lines = lines_of(F.col(text))
-    both = both.withColumn("__lines", lines)
-
-    def words(r: Column) -> Column:
-        part = F.slice("__lines", r["first"] + 1, r["last"] - r["first"])
-        return F.aggregate(part, F.lit(0), lambda n, x: n + F.size(F.split(_trimmed(x), r"\s+")))
-
-    enough = F.filter("__runs", lambda r: (r["last"] - r["first"] >= WINDOW) | (words(r) >= min_words))
-    both = both.withColumn("__cut", F.when(F.col("__runs").isNotNull(), enough))
-    kept = F.filter("__lines", lambda x, i: ~F.exists("__cut", lambda r: (i >= r["first"]) & (i < r["last"])))
-    changed = F.col("__cut").isNotNull() & (F.size("__cut") > 0)
+    hashed = written(held.where(F.col(text).isNotNull()).select(F.col("__ord").alias("ord"), F.col("__th").alias("th"), _numbers(F.col(text)).alias("hashes")))
+    runs = repeated_runs(hashed).withColumnsRenamed({"ord": "o", "th": "t"})
+    sizes = hashed.groupBy("ord", "th").agg(F.max(F.size("hashes")).alias("__size"))
+    known = sizes.join(runs, (F.col("ord") == F.col("o")) & (F.col("th") == F.col("t")), "left").select(F.col("ord").alias("__o"), F.col("th").alias("__t"), "__size", F.col("runs").alias("__cut")).hint("shuffle_hash")
+    both = held.join(known, (F.col("__ord") == F.col("__o")) & (F.col("__th") == F.col("__t")) & F.col(text).isNotNull(), "left")
+    changed = F.col("__cut").isNotNull()
+    kept = F.filter(lines_of(F.col(text)), lambda x, i: ~F.exists("__cut", lambda r: (i >= r["first"]) & (i < r["last"])))
     removed = F.aggregate("__cut", F.lit(0), lambda n, r: n + r["last"] - r["first"])
     return both.select(
         *(F.when(changed, F.array_join(kept, "")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns if c not in names),
-        F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long").alias(names[0]),
+        F.coalesce("__size", F.lit(0)).cast("long").alias(names[0]),
         F.when(changed, removed).otherwise(0).cast("long").alias(names[1]),
     )
