@@ -141,13 +141,13 @@ def concat_reduce(t, spark):
 
 
 def _frames_sql(scale: int) -> str:
-    each = ", ".join(f"round(avg(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL {s * scale} SECOND PRECEDING AND CURRENT ROW), 6) AS mean_{k}" for k, s in T.FRAMES.items())
+    each = ", ".join(f"round(avg(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL {s * scale} SECOND PRECEDING AND CURRENT ROW), 10) AS mean_{k}" for k, s in T.FRAMES.items())
     return f"SELECT event_id, event_type, {each} FROM events"
 
 
 def _frames(t, scale):
     out = T.trailing_means(t("events"), "event_type", "ts", "value", scale=scale)
-    return out.select("event_id", "event_type", *(F.round(f"mean_{k}", 6).alias(f"mean_{k}") for k in T.FRAMES))
+    return out.select("event_id", "event_type", *(F.round(f"mean_{k}", 10).alias(f"mean_{k}") for k in T.FRAMES))
 
 
 @query(_frames_sql(1))
