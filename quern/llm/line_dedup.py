@@ -78,9 +78,10 @@ def repeated_runs(hashed: DataFrame) -> DataFrame:
     """(ord, th, runs): for each document with any, the disjoint line ranges (first, last, end exclusive; long)
     that occur earlier and have WINDOW lines or a long one. ``hashed`` has ord, th and hashes."""
     prints = _fingerprints(hashed)
-    counted = prints.groupBy("hash").agg(F.count("*").alias("n"), F.min("ord").alias("least")).where("n > 1").select("hash", "least")
+    # Aggregates are written before their joins: a join of two plain exchanges can split a very frequent hash.
+    counted = written(prints.groupBy("hash").agg(F.count("*").alias("n"), F.min("ord").alias("least")).where("n > 1").select("hash", "least"))
     shared = written(prints.join(counted, "hash"))
-    first = shared.where("ord = least").groupBy("hash").agg(F.min(F.struct("th", "pos", "around")).alias("f"))
+    first = written(shared.where("ord = least").groupBy("hash").agg(F.min(F.struct("th", "pos", "around")).alias("f")))
     pairs = shared.join(first, "hash").where((F.col("ord") != F.col("least")) | (F.col("th") != F.col("f.th")) | (F.col("pos") != F.col("f.pos")))
 
     def before(pos: Column, around: Column) -> Column:
