@@ -48,16 +48,16 @@ def rarest_terms(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     (item_id, offset, n, left, right): the item's length in words and its words before the offset, nearest
     first, and after it, no further than a window reaches."""
     words = items.select("item_id", _folded(_raw_words(F.col("text"))).alias("words")).where(F.size("words") > 0)
-    words = written(words.groupBy("item_id", "words").count().select("item_id", "words", F.size("words").alias("n")))
-    placed = words.select("item_id", "n", F.posexplode("words").alias("offset", "word")).withColumn("term", F.lower("word"))
+    words = written(words.groupBy("item_id", "words").count().select(F.xxhash64("item_id", "words").alias("k"), "item_id", "words", F.size("words").alias("n")))
+    placed = words.select("k", "n", F.posexplode("words").alias("offset", "word")).withColumn("term", F.lower("word"))
     vocabulary = placed.select("term").distinct()
     every = docs.select(F.explode(F.split(F.lower("text"), SEPARATORS)).alias("term"))
     counts = every.join(_sized(vocabulary), "term", "left_semi").groupBy("term").count()
-    starts = words.select("item_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0)))).alias("start"))
-    places = starts.select("item_id", "start", F.explode(F.sequence("start", F.least(F.col("start") + window, F.col("n")) - 1)).alias("offset"))
-    rated = places.join(placed, ["item_id", "offset"]).join(counts, "term", "left").select("item_id", "start", "term", "offset", F.coalesce("count", F.lit(0)).alias("count"))
-    chosen = rated.groupBy("item_id", "start").agg(F.min(F.struct("count", "term", "offset")).alias("best")).select("item_id", F.col("best.term").alias("term"), F.col("best.offset").alias("offset"), F.col("best.count").alias("count")).where("count > 0").distinct()
-    around = chosen.join(words, "item_id").select(
+    starts = words.select("k", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0)))).alias("start"))
+    places = starts.select("k", "start", F.explode(F.sequence("start", F.least(F.col("start") + window, F.col("n")) - 1)).alias("offset"))
+    rated = places.join(placed, ["k", "offset"]).join(counts, "term", "left").select("k", "start", "term", "offset", F.coalesce("count", F.lit(0)).alias("count"))
+    chosen = rated.groupBy("k", "start").agg(F.min(F.struct("count", "term", "offset")).alias("best")).select("k", F.col("best.term").alias("term"), F.col("best.offset").alias("offset"), F.col("best.count").alias("count")).where("count > 0").distinct()
+    around = chosen.join(words, "k").select(
         "term",
         F.struct(
             "item_id",
