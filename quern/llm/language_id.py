@@ -133,7 +133,7 @@ def learn_profiles(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str =
             for k, parts in of.items():
                 keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 total = np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(keys)), pa.array(keys), pa.array(total)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(keys), pa.string()), pa.array(keys), pa.array(total)], names=["lang", "gram", "n"])
 
     total = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
