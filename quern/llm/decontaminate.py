@@ -134,8 +134,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, text: str
         return F.struct(F.greatest(acc["upto"], s["last"]).alias("upto"), (acc["hit"] + F.greatest(s["last"] - F.greatest(s["first"], acc["upto"]), F.lit(0))).alias("hit"))
 
     hits = whole.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "items", "near_items", F.array_sort("spans").alias("spans"), F.aggregate(F.array_sort("spans"), start, cover, lambda a: a["hit"]).alias("n_hit"))
-    parts = F.split("text", SEPARATORS)
-    n = F.size(parts) - F.when(F.element_at(parts, 1) == "", 1).otherwise(0) - F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+
+    def number(parts: Column) -> Column:
+        return F.size(parts) - (parts[0] == "").cast("int") - ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
+
+    n = F.transform(F.array(F.split("text", SEPARATORS)), number)[0]  # splits once
     counted = docs.select("doc_id", F.xxhash64("text").alias("h"), F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_words"))
     joined = counted.join(hits, counted.doc_id.eqNullSafe(F.col("__d")) & (counted.h == F.col("__h")), "left")
     none = F.array().cast(f"array<{items.schema['item_id'].dataType.simpleString()}>")
