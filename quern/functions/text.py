@@ -11,10 +11,15 @@ def capitalize(s: Column) -> Column:
     return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 2**31 - 1))
 
 
+def _rest(parts: Column) -> Column:
+    """All elements but the first."""
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
 def snake_to_camel(s: Column) -> Column:
     """First part in lower case; of every other part only the first character changes."""
     parts = F.split(s, "_")
-    rest = F.transform(F.slice(parts, 2, 2**31 - 1), capitalize)
+    rest = F.transform(_rest(parts), capitalize)
     return F.concat(F.lower(F.get(parts, F.lit(0))), F.array_join(rest, ""))
 
 
@@ -27,7 +32,7 @@ def to_kebab(s: Column) -> Column:
 def kebab_to_camel(s: Column) -> Column:
     """The parts between dashes, all but the first capitalised."""
     parts = F.split(s, "-")
-    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, 2**31 - 1), capitalize), ""))
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(_rest(parts), capitalize), ""))
 
 
 def without_prefix(s: Column, prefix: str) -> Column:

@@ -17,8 +17,8 @@ def sliding_means(stream: DataFrame, handle: str, ts: str, value: str, length: s
     return out.select(handle, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "mean", "n")
 
 
-def ewma_stream(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """The running (3 x old + new) / 4 of each key, in whole numbers; one row for each key and batch."""
+def ewma_stream(stream: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """The running (3 x old + new) / 4 of each key, in whole numbers; one row for each key and batch, whose rows count in ``order``."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         old = state.get[0] if state.exists else 0
@@ -28,7 +28,7 @@ def ewma_stream(stream: DataFrame, key: str, value: str) -> DataFrame:
         state.update((old,))
         yield pd.DataFrame({"key": [str(k[0])], "ewma": [old]})
 
-    picked = stream.select(F.col(key).cast("string").alias("key"), F.col(value).cast("long").alias("__value"), F.monotonically_increasing_id().alias("__order"))
+    picked = stream.select(F.col(key).cast("string").alias("key"), F.col(value).cast("long").alias("__value"), F.col(order).alias("__order"))
     return picked.groupBy("key").applyInPandasWithState(step, "key string, ewma long", "ewma long", "update", GroupStateTimeout.NoTimeout)
 
 
