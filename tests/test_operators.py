@@ -1,5 +1,7 @@
 """Operators by hand-worked values, sources and streams."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,9 +113,12 @@ def test_sources(spark, tmp_path):
     assert SRC.cpu_topology(spark, f"{tmp_path}/cpu").count() == 3
 
 
-def run_stream(spark, df, name):
+def run_stream(spark, df, name, n):
+    """The rows in the memory sink once there are n; time-outs keep such a query from ever being idle."""
     q = df.writeStream.outputMode("update").format("memory").queryName(name).start()
-    q.processAllAvailable()
+    until = time.time() + 100
+    while spark.table(name).count() < n and q.isActive and time.time() < until:
+        time.sleep(0.5)
     q.stop()
     return spark.table(name)
 
@@ -122,9 +127,9 @@ def test_streams(spark, tmp_path):
     data = spark.createDataFrame([("a", 1, 10), ("a", 1, 20), ("a", 2, 30), ("b", 1, 4)], "k string, tick long, v long")
     data.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = lambda: spark.readStream.schema(data.schema).parquet(f"{tmp_path}/in")
-    got = {r.key: r.ewma for r in run_stream(spark, ST.ewma_stream(stream(), "k", "v", "v"), "ewma").collect()}
+    got = {r.key: r.ewma for r in run_stream(spark, ST.ewma_stream(stream(), "k", "v", "v"), "ewma", 2).collect()}
     assert got == {"a": 12, "b": 1}
-    got = {(r.key, r.tick): (r.passed, r.over) for r in run_stream(spark, ST.rate_limit_stream(stream(), "k", "tick", 1), "rates").collect()}
+    got = {(r.key, r.tick): (r.passed, r.over) for r in run_stream(spark, ST.rate_limit_stream(stream(), "k", "tick", 1), "rates", 3).collect()}
     assert got == {("a", 1): (1, 1), ("a", 2): (1, 0), ("b", 1): (1, 0)}
 
 
