@@ -32,33 +32,47 @@ PATTERNS = {
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?|\([0-9]{3}\) ?)[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
 }
-ANY = "|".join(PATTERNS.values())
+#: All candidates that hold a digit; the look-ahead passes over most characters at once.
+NUMBERS = r"(?=[0-9+(A-Z])(?:" + "|".join(v for k, v in PATTERNS.items() if k != "email") + ")"
+ANY = PATTERNS["email"] + "|" + NUMBERS
 #: The 100 years whose dates stay among themselves, and the 400 years around them; days of both as products of two radices.
 NEAR, FAR = ("1925-01-01", 75, 487), ("1825-01-01", 276, 397)
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def feistel(values: Column, radices: Column, key: str, kind: str) -> Column:
-    """A keyed bijection on vectors with the given radices. Vectors of one number get a second one of radix 1."""
-    half = F.greatest(F.floor(F.size(values) / 2), F.lit(1)).cast("int")
-    parts = [F.slice(x, 1, half) for x in (values, radices)] + [F.slice(x, half + 1, F.greatest(F.size(x) - half, F.lit(0))) for x in (values, radices)]
-    start = F.struct(parts[0].alias("a"), parts[2].alias("b"))
+    """A keyed bijection on vectors with the given radices. A vector of one number is its own first half."""
+
+    def halves(s: Column) -> Column:
+        half = F.greatest(F.floor(F.size(s["v"]) / 2), F.lit(1)).cast("int")
+        rest = F.greatest(F.size(s["v"]) - half, F.lit(0))
+        return F.struct(*(part.alias(n) for n, part in (("a", F.slice(s["v"], 1, half)), ("ra", F.slice(s["r"], 1, half)), ("b", F.slice(s["v"], half + 1, rest)), ("rb", F.slice(s["r"], half + 1, rest)))))
 
     def mixed(part: Column, radix: Column, other: Column, r: Column) -> Column:
-        seen = F.array_join(other.cast("array<string>"), ",")
+        def with_seen(seen: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), i.cast("string"), seen), 256)
+                return F.pmod(x + F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.get(radix, i)).cast("long")
 
-        def one(x: Column, i: Column) -> Column:
-            digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), i.cast("string"), seen), 256)
-            return F.pmod(x + F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.get(radix, i)).cast("long")
+            return F.transform(part, one)
 
-        return F.transform(part, one)
+        return let(F.array_join(other.cast("array<string>"), ","), with_seen)
 
-    def step(acc: Column, r: Column) -> Column:
-        odd = F.struct(mixed(acc["a"], parts[1], acc["b"], r).alias("a"), acc["b"].alias("b"))
-        even = F.struct(acc["a"].alias("a"), mixed(acc["b"], parts[3], acc["a"], r).alias("b"))
-        return F.when(r % 2 == 1, odd).otherwise(even)
+    def network(h: Column) -> Column:
+        def step(acc: Column, r: Column) -> Column:
+            odd = F.struct(mixed(acc["a"], h["ra"], acc["b"], r).alias("a"), acc["b"].alias("b"))
+            even = F.struct(acc["a"].alias("a"), mixed(acc["b"], h["rb"], acc["a"], r).alias("b"))
+            return F.when(r % 2 == 1, odd).otherwise(even)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.concat(acc["a"], acc["b"]))
+        start = F.struct(h["a"].alias("a"), h["b"].alias("b"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.concat(acc["a"], acc["b"]))
+
+    return let(let(F.struct(values.alias("v"), radices.alias("r")), halves), network)
 
 
 def _chars(text: Column) -> Column:
@@ -71,13 +85,15 @@ def _digits(text: Column) -> Column:
 
 def _refilled(layout: Column, chars: Column, slot: str) -> Column:
     """The layout with its characters that match ``slot`` replaced by ``chars`` in order."""
-    start = F.struct(F.lit(0).alias("i"), F.lit("").alias("out"))
 
-    def step(acc: Column, c: Column) -> Column:
-        here = c.rlike(slot)
-        return F.struct((acc["i"] + here.cast("int")).alias("i"), F.concat(acc["out"], F.when(here, F.get(chars, acc["i"])).otherwise(c)).alias("out"))
+    def filled(new: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            here = c.rlike(slot)
+            return F.struct((acc["i"] + here.cast("int")).alias("i"), F.concat(acc["out"], F.when(here, F.get(new, acc["i"])).otherwise(c)).alias("out"))
+
+        return F.aggregate(_chars(layout), F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), step, lambda a: a["out"])
 
-    return F.aggregate(_chars(layout), start, step, lambda a: a["out"])
+    return let(chars, filled)
 
 
 def _tens(n: Column) -> Column:
@@ -96,26 +112,35 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _card(hit: Column, key: str) -> Column:
-    digits = _digits(hit)
-    body = F.slice(digits, 1, F.size(digits) - 1)
-    new = feistel(body, _tens(body), key, "card")
-    check = F.pmod(-luhn_sum(F.concat(new, F.array(F.lit(0).cast("long")))), F.lit(10))
-    return F.when(luhn_sum(digits) % 10 == 0, _refilled(hit, F.concat(new, F.array(check)).cast("array<string>"), "[0-9]"))
+    def shown(digits: Column) -> Column:
+        body = F.slice(digits, 1, F.size(digits) - 1)
+
+        def checked(new: Column) -> Column:
+            check = F.pmod(-luhn_sum(F.concat(new, F.array(F.lit(0).cast("long")))), F.lit(10))
+            return _refilled(hit, F.concat(new, F.array(check)).cast("array<string>"), "[0-9]")
+
+        return F.when(luhn_sum(digits) % 10 == 0, let(feistel(body, _tens(body), key, "card"), checked))
+
+    return let(_digits(hit), shown)
 
 
 def _phone(hit: Column, key: str) -> Column:
     """The country code stays; a number of fewer than 7 or more than 15 digits is none."""
     code = F.regexp_extract(hit, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    rest = F.substring(hit, F.length(code) + 1, F.length(hit))
-    digits = _digits(rest)
-    new = feistel(digits, _tens(digits), key, "phone")
-    return F.when(F.length(F.regexp_replace(hit, "[^0-9]", "")).between(7, 15), F.concat(code, _refilled(rest, new.cast("array<string>"), "[0-9]")))
+
+    def shown(rest: Column) -> Column:
+        new = let(_digits(rest), lambda d: feistel(d, _tens(d), key, "phone"))
+        return F.concat(code, _refilled(rest, new.cast("array<string>"), "[0-9]"))
+
+    return F.when(F.length(F.regexp_replace(hit, "[^0-9]", "")).between(7, 15), let(F.substring(hit, F.length(code) + 1, F.length(hit)), shown))
 
 
 def _ip(hit: Column, key: str) -> Column:
-    parts = F.split(hit, r"\.").cast("array<long>")
-    new = feistel(parts, F.transform(parts, lambda _: F.lit(256).cast("long")), key, "ip")
-    return F.when(F.forall(parts, lambda p: p < 256), F.array_join(new.cast("array<string>"), "."))
+    def shown(parts: Column) -> Column:
+        new = feistel(parts, F.transform(parts, lambda _: F.lit(256).cast("long")), key, "ip")
+        return F.when(F.forall(parts, lambda p: p < 256), F.array_join(new.cast("array<string>"), "."))
+
+    return let(F.split(hit, r"\.").cast("array<long>"), shown)
 
 
 def _ssn(hit: Column, key: str) -> Column:
@@ -123,8 +148,8 @@ def _ssn(hit: Column, key: str) -> Column:
     area, group, serial = (F.substring(hit, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     values = F.array(F.when(area > 666, area - 2).otherwise(area - 1), group - 1, serial - 1)
     new = feistel(values, F.array(*(F.lit(x).cast("long") for x in (898, 99, 9999))), key, "ssn")
-    shown = F.transform(F.array(new), lambda v: F.concat_ws("-", F.lpad((F.when(v[0] >= 665, v[0] + 2).otherwise(v[0] + 1)).cast("string"), 3, "0"), F.lpad((v[1] + 1).cast("string"), 2, "0"), F.lpad((v[2] + 1).cast("string"), 4, "0")))
-    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), shown[0])
+    shown = let(new, lambda v: F.concat_ws("-", F.lpad((F.when(v[0] >= 665, v[0] + 2).otherwise(v[0] + 1)).cast("string"), 3, "0"), F.lpad((v[1] + 1).cast("string"), 2, "0"), F.lpad((v[2] + 1).cast("string"), 4, "0")))
+    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), shown)
 
 
 def _date(hit: Column, key: str) -> Column:
@@ -145,9 +170,13 @@ def _date(hit: Column, key: str) -> Column:
             new = feistel(F.array(F.floor(n / radix).cast("long"), F.pmod(n, F.lit(radix)).cast("long")), F.array(F.lit(rows).cast("long"), F.lit(radix).cast("long")), key, kind)
             return F.aggregate(new, F.lit(0).cast("long"), lambda a, x: a * radix + x).cast("int")
 
-        far = F.transform(F.array(moved(rest, FAR[2], FAR[1], "date-far")), lambda n: F.date_add(far0, F.when(n < gap, n).otherwise(n + size)))[0]
+        far = let(moved(rest, FAR[2], FAR[1], "date-far"), lambda n: F.date_add(far0, F.when(n < gap, n).otherwise(n + size)))
         day = F.when(inner, F.date_add(near0, moved(at, NEAR[2], NEAR[1], "date"))).when(outer.between(0, 146096), far)
-        return reduce(lambda acc, x: acc.when(t["layout"] == x[1], F.date_format(day, x[1])), layouts[1:], F.when(t["layout"] == layouts[0][1], F.date_format(day, layouts[0][1])))
+
+        def written(d: Column) -> Column:
+            return reduce(lambda acc, x: acc.when(t["layout"] == x[1], F.date_format(d, x[1])), layouts[1:], F.when(t["layout"] == layouts[0][1], F.date_format(d, layouts[0][1])))
+
+        return let(day, written)
 
     return F.get(F.transform(F.slice(best, 1, 1), shown), F.lit(0))
 
@@ -163,25 +192,34 @@ def _mod97(chars: Column) -> Column:
 
 def _mixed(chars: Column, key: str, kind: str) -> Column:
     """Letters and digits permuted within their class; characters of other classes stay."""
-    base = F.transform(chars, lambda c: F.when(c.rlike("[0-9]"), 48).when(c.rlike("[A-Z]"), 65).when(c.rlike("[a-z]"), 97).otherwise(0))
-    radix = F.transform(base, lambda b: F.when(b == 48, 10).when(b > 0, 26).otherwise(1).cast("long"))
-    values = F.zip_with(chars, base, lambda c, b: F.when(b > 0, F.ascii(c) - b).otherwise(0).cast("long"))
-    new = feistel(values, radix, key, kind)
-    return F.transform(F.arrays_zip(new.alias("v"), base.alias("b"), chars.alias("c")), lambda x: F.when(x["b"] > 0, F.char((x["v"] + x["b"]).cast("int"))).otherwise(x["c"]))
+
+    def classed(c: Column) -> Column:
+        base = F.when(c.rlike("[0-9]"), 48).when(c.rlike("[A-Z]"), 65).when(c.rlike("[a-z]"), 97).otherwise(0)
+        return F.struct(c.alias("c"), base.alias("base"))
+
+    def moved(cs: Column) -> Column:
+        radix = F.transform(cs, lambda x: F.when(x["base"] == 48, 10).when(x["base"] > 0, 26).otherwise(1).cast("long"))
+        values = F.transform(cs, lambda x: F.when(x["base"] > 0, F.ascii(x["c"]) - x["base"]).otherwise(0).cast("long"))
+        return F.zip_with(feistel(values, radix, key, kind), cs, lambda v, x: F.when(x["base"] > 0, F.char((v + x["base"]).cast("int"))).otherwise(x["c"]))
+
+    return let(F.transform(chars, classed), moved)
 
 
 def _iban(hit: Column, key: str) -> Column:
     """The country stays, the account is permuted, the check digits follow."""
-    chars = _chars(F.replace(hit, F.lit(" "), F.lit("")))
-    country, account = F.slice(chars, 1, 2), F.slice(chars, 5, F.greatest(F.size(chars) - 4, F.lit(0)))
     zero = F.array(F.lit("0"), F.lit("0"))
 
-    def whole(new: Column) -> Column:
-        check = F.lpad((98 - _mod97(F.concat(new, country, zero))).cast("string"), 2, "0")
-        return _refilled(hit, F.concat(country, _chars(check), new), "[A-Z0-9]")
+    def shown(chars: Column) -> Column:
+        country, account = F.slice(chars, 1, 2), F.slice(chars, 5, F.greatest(F.size(chars) - 4, F.lit(0)))
+
+        def whole(new: Column) -> Column:
+            check = F.lpad((98 - _mod97(F.concat(new, country, zero))).cast("string"), 2, "0")
+            return _refilled(hit, F.concat(country, _chars(check), new), "[A-Z0-9]")
 
-    shown = F.transform(F.array(_mixed(account, key, "iban")), whole)[0]
-    return F.when((_mod97(F.concat(account, country, F.slice(chars, 3, 2))) == 1) & F.size(chars).between(15, 34), shown)
+        valid = (_mod97(F.concat(account, country, F.slice(chars, 3, 2))) == 1) & F.size(chars).between(15, 34)
+        return F.when(valid, let(_mixed(account, key, "iban"), whole))
+
+    return let(_chars(F.replace(hit, F.lit(" "), F.lit(""))), shown)
 
 
 def _email(hit: Column, key: str) -> Column:
@@ -200,16 +238,22 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     makers = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
     body = F.coalesce(F.col(text), F.lit(""))
-    hits = F.regexp_extract_all(body, F.lit(ANY), F.lit(0))
-    pieces = F.split(body, ANY)
 
     def replaced(hit: Column) -> Column:
-        tried = F.coalesce(*(F.when(hit.rlike(rf"^(?:{PATTERNS[k]})$"), F.when(make(hit, key).isNotNull(), F.struct(F.lit(k).alias("kind"), make(hit, key).alias("new")))) for k, make in makers.items()))
-        return F.coalesce(tried, F.struct(F.lit(None).cast("string").alias("kind"), hit.alias("new")))
-
-    staged = docs.drop("pii").withColumns({"__hits": F.when(F.size(hits) > 0, F.transform(hits, replaced)), "__pieces": F.when(F.size(hits) > 0, pieces)})
-    joined = F.array_join(F.flatten(F.zip_with("__pieces", "__hits", lambda p, h: F.array(p, F.coalesce(h["new"], F.lit(""))))), "")
-    kinds = F.filter(F.transform("__hits", lambda h: h["kind"]), lambda k: k.isNotNull())
+        of = {k: hit.rlike(rf"^(?:{PATTERNS[k]})$") for k in makers}
+        new = F.coalesce(*(F.when(of[k], make(hit, key)) for k, make in makers.items()))
+        return F.struct(F.coalesce(*(F.when(of[k], F.lit(k)) for k in makers)).alias("kind"), hit.alias("old"), new.alias("new"))
+
+    def parts(pattern: str) -> Column:
+        """Hits with their pseudonyms and the text between them, or null without hits; one search unless there are some."""
+        found = F.array(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
+        return F.transform(found, lambda h: F.when(F.size(h) > 0, F.struct(F.transform(h, replaced).alias("hits"), F.split(body, pattern).alias("pieces"))))[0]
+
+    # a text without a digit and an @ has no candidate, and most texts have no @
+    staged = docs.drop("pii").withColumn("__parts", F.when(F.contains(body, F.lit("@")), parts(ANY)).when(body.rlike("[0-9]"), parts(NUMBERS)))
+    staged = staged.withColumns({"__hits": F.col("__parts.hits"), "__pieces": F.col("__parts.pieces")})
+    joined = F.array_join(F.flatten(F.zip_with("__pieces", "__hits", lambda p, h: F.array(p, F.coalesce(h["new"], h["old"], F.lit(""))))), "")
+    kinds = F.transform(F.filter("__hits", lambda h: h["new"].isNotNull()), lambda h: h["kind"])
     counted = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
     out = staged.select(*(F.when(F.col("__hits").isNull(), F.col(text)).otherwise(joined).alias(text) if c == text else F.col(c) for c in docs.columns if c != "pii"), F.coalesce(counted, F.create_map().cast("map<string,int>")).alias("pii"))
     return out
