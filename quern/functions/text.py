@@ -99,3 +99,16 @@ def enum_or_ordinal(s: Column, names: list[str]) -> Column:
 def listed(parts: Column, separator: str = ", ") -> Column:
     """Array elements as one string."""
     return F.array_join(parts, separator)
+
+
+def with_json_field(document: Column, key: str, value: Column) -> Column:
+    """A JSON object with one more field (or another value of it); what is no object stays as it is."""
+    parsed = F.from_json(document, "map<string,string>")
+    rest = F.map_filter(parsed, lambda k, _: k != key)
+    return F.when(F.trim(document).startswith("{") & parsed.isNotNull(), F.to_json(F.map_concat(rest, F.create_map(F.lit(key), value.cast("string"))))).otherwise(document)
+
+
+def relative(given: Column, base: Column) -> Column:
+    """A coordinate as a number, or ``~`` with an offset from a base."""
+    offset = F.when(given == "~", F.lit(0)).otherwise(F.substring(given, 2, 20).try_cast("int"))
+    return F.when(F.startswith(given, F.lit("~")), base + offset).otherwise(given.try_cast("int"))

@@ -18,6 +18,7 @@ from ..operators import encoding as E
 from ..operators import graph as G
 from ..operators import matching as M
 from ..operators import ranking as R
+from ..operators import regions as A
 from ..operators import series as T
 from ..operators import sets as H
 from ..operators import spatial as P
@@ -611,6 +612,104 @@ def lookup_default(t, spark):
     return t("customer").join(regions, "c_nationkey", "left").select("c_custkey", F.coalesce("n_regionkey", lit(-1)).alias("region"), F.coalesce("n_name", lit("UNKNOWN")).alias("centre"))
 
 
+# Regions, rectangles, user-defined states
+
+
+@query("""WITH s AS (SELECT s_suppkey % 16 AS sx, s_suppkey // 16 % 16 AS sz, min(s_nationkey % 2) AS region FROM supplier GROUP BY ALL),
+r AS (SELECT p_partkey, p_partkey * 5 % 200 AS x0, p_size * 3 % 200 AS z0, p_partkey * 5 % 200 + p_size % 20 AS x1, p_size * 3 % 200 + p_partkey % 20 AS z1 FROM part),
+e AS (SELECT p_partkey, region FROM (SELECT p_partkey, unnest(range(x0 >> 4, (x1 >> 4) + 1)) AS sx, z0, z1 FROM r) a, LATERAL (SELECT unnest(range(z0 >> 4, (z1 >> 4) + 1)) AS sz) b LEFT JOIN s ON s.sx = a.sx AND s.sz = b.sz)
+SELECT p_partkey, bool_and(region IS NOT NULL) AND min(region) = max(region) IS TRUE AS owned FROM e GROUP BY 1""")
+def region_ownership(t, spark):
+    """Whether all sections under a rectangle belong to one region."""
+    sections = t("supplier").groupBy((col("s_suppkey") % 16).alias("sx"), F.floor(col("s_suppkey") / 16 % 16).alias("sz")).agg(F.min(col("s_nationkey") % 2).alias("region")).select(N.pack_xz(col("sx"), col("sz")).alias("section_key"), "region")
+    k, size = col("p_partkey"), col("p_size")
+    rects = t("part").select("p_partkey", (k * 5 % 200).cast("int").alias("x0"), (size * 3 % 200).cast("int").alias("z0"), (k * 5 % 200 + size % 20).cast("int").alias("x1"), (size * 3 % 200 + k % 20).cast("int").alias("z1"))
+    return A.owned_rectangles(rects, sections, "p_partkey", 4).select("p_partkey", "owned")
+
+
+@query("""SELECT c_nationkey, count(*) AS n, max(c_acctbal) AS top FROM customer GROUP BY 1""")
+def user_state(t, spark):
+    """A mergeable state defined by the user: a count and a maximum."""
+
+    def add(state, row):
+        return {"n": state["n"] + row["n"], "top": max(state["top"], row["top"])}
+
+    rows = t("customer").select("c_nationkey", lit(1).cast("long").alias("n"), col("c_acctbal").alias("top"))
+    return A.merged_by(rows, "c_nationkey", lambda: {"n": 0, "top": float("-inf")}, add, "c_nationkey int, n long, top double")
+
+
+@query()
+def jittered_corner(t, spark):
+    """The nearest of eight jittered corners around a point."""
+    x, y, z = col("c_acctbal"), col("c_custkey").cast("double"), col("c_nationkey").cast("double")
+    best = A.nearest_corner(x, y, z, 4, lambda s: N.jitter(s))
+    return t("customer").select("c_custkey", best["corner"].alias("corner"), F.round(best["d2"], 9).alias("d2"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN user_id + event_id % 5 WHEN event_id % 3 = 1 THEN event_id % 100 ELSE user_id END::INT AS x FROM events""")
+def relative_coordinates(t, spark):
+    """Coordinates given as numbers or relative to a base."""
+    e = col("event_id")
+    text = F.when(e % 3 == 0, F.concat(lit("~"), (e % 5).cast("string"))).when(e % 3 == 1, (e % 100).cast("string")).otherwise("~")
+    return t("events").select("event_id", S.relative(text, col("user_id")).cast("int").alias("x"))
+
+
+@query("""SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, (user_id * 2) AS twice FROM events""")
+def json_field(t, spark):
+    """A JSON object with one more field."""
+    out = t("events").select("event_id", S.with_json_field(col("props"), "twice", col("user_id") * 2).alias("j"))
+    return out.select("event_id", F.get_json_object("j", "$.k").cast("long").alias("k"), F.get_json_object("j", "$.twice").cast("long").alias("twice"))
+
+
+@query("""SELECT p_partkey, sum(sin(p_size * pow(2, i)) * pow(2, -i)) AS total FROM part, range(5) r(i) GROUP BY 1""")
+def octave_sum(t, spark):
+    """Five octaves: each of twice the frequency and half the weight."""
+    return t("part").select("p_partkey", N.octaves(col("p_size").cast("double"), F.sin, 5).alias("total"))
+
+
+@query("""SELECT c_nationkey AS nation, c_mktsegment AS rule, count(*) AS n FROM customer GROUP BY ALL""")
+def rule_scan(t, spark):
+    """Values of each rule by world as a map, and taken apart again."""
+    each = t("customer").groupBy(col("c_nationkey").alias("nation"), col("c_mktsegment").alias("rule")).agg(F.count("*").alias("n"))
+    maps = each.groupBy("rule").agg(F.map_from_entries(F.collect_list(F.struct("nation", "n"))).alias("by_nation"))
+    return maps.select("rule", F.explode("by_nation").alias("nation", "n"))
+
+
+@query("""SELECT l_orderkey, bool_and(l_quantity > 3) AS every, bool_or(l_returnflag = 'R') AS any, count(*) FILTER (l_tax = 0) = 0 AS none FROM lineitem GROUP BY 1""")
+def every_any_none(t, spark):
+    """Tests over all rows of a group."""
+    return t("lineitem").groupBy("l_orderkey").agg(F.bool_and(col("l_quantity") > 3).alias("every"), F.bool_or(col("l_returnflag") == "R").alias("any"), (F.count_if(col("l_tax") == 0) == 0).alias("none"))
+
+
+# Built into Spark, and asked for beside the operators above
+
+
+@query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers, (2 - grouping(o_orderstatus) - grouping(o_orderpriority))::INT AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
+def tier_b_cube(t, spark):
+    """A cube with distinct counts."""
+    return t("orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), (2 - F.grouping("o_orderstatus") - F.grouping("o_orderpriority")).cast("int").alias("level"))
+
+
+@query("""SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, lag(o_orderkey) OVER w AS before, lead(o_orderkey) OVER w AS next, ntile(4) OVER w AS quarter
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def tier_b_windows(t, spark):
+    """Ranks, neighbours and quarters."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return t("orders").select("o_orderkey", F.rank().over(w).cast("long").alias("r"), F.dense_rank().over(w).cast("long").alias("d"), F.lag("o_orderkey").over(w).alias("before"), F.lead("o_orderkey").over(w).alias("next"), F.ntile(4).over(w).cast("long").alias("quarter"))
+
+
+@query("""SELECT e.event_id, (SELECT max(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND (p.ts, p.event_id) <= (e.ts, e.event_id)
+AND (p.ts, p.event_id) = (SELECT max((q.ts, q.event_id)) FROM events q WHERE q.user_id = e.user_id AND q.event_type = 'purchase' AND (q.ts, q.event_id) <= (e.ts, e.event_id))) AS last_purchase FROM events e""")
+def tier_b_as_of(t, spark):
+    """The last purchase at or before each event of a user, as a running value over one sorted window."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    return t("events").select("event_id", F.last(F.when(col("event_type") == "purchase", col("event_id")), ignorenulls=True).over(w).alias("last_purchase"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -138,3 +138,16 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_tags(spark, tmp_path):
+    from quern.sources import tags as G
+
+    tree = {"DataVersion": (G.INT, 7), "a": (G.STRING, "é"), "l": (G.LIST, (G.SHORT, [1, -2])), "n": (G.COMPOUND, {"d": (G.DOUBLE, 1.5), "i": (G.INTS, [3]), "q": (G.LONGS, []), "b": (G.BYTES, [-1])})}
+    for zipped in (True, False):
+        assert G.parse(G.serialise("root", tree, zipped)) == ("root", tree)
+    moved = G.gathered(tree, "data")
+    assert set(moved) == {"DataVersion", "data"} and G.gathered(moved, "data") is moved
+    (tmp_path / "x.dat").write_bytes(G.serialise("root", tree))
+    got = {r.path: r.value for r in G.read_tags(spark, str(tmp_path)).collect()}
+    assert got["a"] == "é" and got["n.d"] == "1.5" and got["l"] == "[2, [1, -2]]" and len(got) == 7
