@@ -23,6 +23,10 @@ from pyspark.sql import types as T
 from .shared import steps, texts_of, written
 
 
+#: Ids of copies up to which they are broadcast to the scan of the texts; beyond, that join is a shuffled one.
+BROADCAST_IDS = 1_000_000
+
+
 def canonical(text: str | None) -> str:
     """NFKC, case folded, normalised again, white space runs as one space, none at the ends; null as empty."""
     text = unicodedata.normalize("NFKC", text or "").casefold()
@@ -56,14 +60,15 @@ def exact_classes(docs: DataFrame, prints: DataFrame, text: str = "text", doc_id
     differ from it (a collision of the hash) are classed among themselves by their bytes. Null ids
     belong to a class and never name one, unless it has no other.
     """
-    least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    # written, so that the joins below are joins of plain exchanges, which adaptive execution splits at a large bucket
+    least = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     several = least.where("n > 1")
-    ids = prints.join(several, "fingerprint").select("doc_id", "fingerprint", "least")
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    wanted = ids.select("doc_id").distinct()
-    bytes_of = exact_digests(source.join(wanted, "doc_id", "left_semi")).select("doc_id", "fingerprint", "canonical")
+    wanted = written(prints.join(several, "fingerprint").where("doc_id is not null").select("doc_id").distinct())
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    bytes_of = exact_digests(source.join(few, "doc_id", "left_semi")).select("doc_id", "fingerprint", "canonical")
     shared = bytes_of.join(several.select("fingerprint", "least"), "fingerprint")
-    head = shared.where("doc_id = least").groupBy("fingerprint").agg(F.min("canonical").alias("head"))
+    head = written(shared.where("doc_id = least").groupBy("fingerprint").agg(F.min("canonical").alias("head")))
     differs = shared.join(head, "fingerprint").where("canonical <> head")
     apart = differs.groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("own"), F.count("*").alias("m"))
     odd = differs.join(apart, ["fingerprint", "canonical"]).select(F.col("doc_id").alias("__d"), F.col("fingerprint").alias("__f"), "own", "m").distinct()
