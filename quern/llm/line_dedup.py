@@ -7,8 +7,10 @@ long line by itself. A run of lines that occurs twice and has WINDOW lines or a
 enough, and has a fingerprint in common, at the same place of the run. Each fingerprint's positions are joined
 to its first one, in the order of (doc_id, hash of the text, position), and the match is extended
 both ways over the neighbouring hashes that travel with it. Fingerprints inside a run are at most
-WINDOW lines apart, so neighbours up to that distance close every gap. Runs that are long enough are
-deleted where they repeat; their first occurrence always stays.
+WINDOW lines apart, so neighbours up to that distance close every gap. That first one may stand among
+other lines than a later pair has in common, so the WINDOW lines (and the shorter pieces that end in a long line)
+around a fingerprint that the match leaves out are joined once more, each to the first place of the
+same lines. Runs that are long enough are deleted where they repeat; their first occurrence always stays.
 """
 
 from __future__ import annotations
@@ -75,8 +77,8 @@ def _agreement(a: Column, b: Column) -> Column:
 
 
 def repeated_runs(hashed: DataFrame) -> DataFrame:
-    """(ord, th, runs): for each document with any, the disjoint line ranges (first, last, end exclusive; long)
-    that occur earlier and have WINDOW lines or a long one. ``hashed`` has ord, th and hashes."""
+    """(ord, th, runs): for each document with any, the disjoint line ranges (first, last, end exclusive)
+    made of runs that occur earlier and have WINDOW lines or a long one. ``hashed`` has ord, th and hashes."""
     prints = _fingerprints(hashed)
     # Aggregates are written before their joins: a join of two plain exchanges can split a very frequent hash.
     counted = written(prints.groupBy("hash").agg(F.count("*").alias("n"), F.min("ord").alias("least")).where("n > 1").select("hash", "least"))
@@ -91,20 +93,37 @@ def repeated_runs(hashed: DataFrame) -> DataFrame:
         return F.slice(around, F.least(pos, F.lit(WINDOW)) + 2, F.lit(WINDOW))
 
     mine, other = (F.col("pos"), F.col("around")), (F.col("f.pos"), F.col("f.around"))
-    matched = pairs.select("ord", "th", "pos", "around", _agreement(before(*mine), before(*other)).alias("back"), _agreement(after(*mine), after(*other)).alias("on"))
-    inside = F.slice("around", F.least(F.col("pos"), F.lit(WINDOW)) + 1 - F.col("back"), F.col("back") + 1 + F.col("on"))
-    found = matched.select("ord", "th", F.struct((F.col("pos") - F.col("back")).alias("first"), (F.col("pos") + 1 + F.col("on")).alias("last"), F.exists(inside, lambda x: x % 2 != 0).alias("long")).alias("r"))
+    matched = pairs.select("ord", "th", "pos", "hash", "around", F.least(F.col("pos"), F.lit(WINDOW)).alias("at"), _agreement(before(*mine), before(*other)).alias("back"), _agreement(after(*mine), after(*other)).alias("on"))
+    inside = F.slice("around", F.col("at") + 1 - F.col("back"), F.col("back") + 1 + F.col("on"))
+    enough = (F.col("back") + 1 + F.col("on") >= WINDOW) | F.exists(inside, lambda x: x % 2 != 0)
+
+    def run(first: Column, last: Column, piece: Column) -> Column:
+        return F.struct(first.alias("first"), last.alias("last"), piece.alias("piece"))
+
+    def left_out(size: int, lead: int) -> Column:
+        """The ``size`` lines from ``lead`` before the fingerprint, if they are there and go beyond the match."""
+        ok = (F.col("at") >= lead) & (F.col("at") - lead + size <= F.size("around")) & ((F.col("back") < lead) | (F.col("on") < size - 1 - lead))
+        ok = ok if size == WINDOW else ok & (F.col("hash") % 2 != 0)
+        start = F.col("pos") - lead
+        return F.when(ok, run(start, start + size, F.xxhash64(F.lit(size), F.slice("around", F.col("at") - lead + 1, F.lit(size)))))
+
+    pieces = [left_out(WINDOW, lead) for lead in range(WINDOW)] + [left_out(size, lead) for size in range(2, WINDOW) for lead in (0, size - 1)]
+    whole = F.when(enough, run(F.col("pos") - F.col("back"), F.col("pos") + 1 + F.col("on"), F.lit(None).cast("long")))
+    each = written(matched.select("ord", "th", F.explode(F.array_compact(F.array(whole, *pieces))).alias("r")).select("ord", "th", "r.*"))
+    place = F.struct("ord", "th", "first")
+    again = each.where("piece is not null")
+    firsts = written(again.groupBy("piece").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("piece", "f"))
+    later = again.join(firsts, "piece").where(place != F.col("f"))
+    found = each.where("piece is null").unionByName(later.select(each.columns)).select("ord", "th", F.struct("first", "last").alias("r"))
     listed = found.groupBy("ord", "th").agg(F.array_sort(F.collect_set("r")).alias("ranges"))
 
     def merge(done: Column, r: Column) -> Column:
         top = F.element_at(done, -1)
-        joined = F.struct(top["first"].alias("first"), F.greatest(top["last"], r["last"]).alias("last"), (top["long"] | r["long"]).alias("long"))
+        joined = F.struct(top["first"].alias("first"), F.greatest(top["last"], r["last"]).alias("last"))
         return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["last"] >= r["first"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(r)))
 
-    start = F.array().cast("array<struct<first:int,last:int,long:boolean>>")
-    merged = listed.select("ord", "th", F.aggregate("ranges", start, merge).alias("runs"))
-    enough = merged.select("ord", "th", F.filter("runs", lambda r: r["long"] | (r["last"] - r["first"] >= WINDOW)).alias("runs"))
-    return enough.where(F.size("runs") > 0)
+    start = F.array().cast("array<struct<first:int,last:int>>")
+    return listed.select("ord", "th", F.aggregate("ranges", start, merge).alias("runs"))
 
 
 def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:

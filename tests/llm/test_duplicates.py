@@ -245,3 +245,29 @@ def test_line_dedup(spark, clashing, empty):
     assert line_dedup(empty).count() == 0
     out = line_dedup(clashing)
     assert out.count() == len(TEXTS) and {r.fp for r in out.collect()} == {"own"}
+
+
+def every_repeat(rows):
+    """Each line that lies in a run that stands earlier and has WINDOW lines or a long one, by trying all pieces of lines."""
+    cut = re.compile(r"(?<=[.!?][ \t])(?=\S)|(?<=\n)(?=\S)")
+    held = [(i, [t[a:b] for a, b in zip(at, at[1:], strict=False)]) for i, t in rows for at in [[0, *(m.start() for m in cut.finditer(t) if m.start()), len(t)]]]
+    seen, gone = {}, collections.defaultdict(set)
+    for i, lines in sorted(held):
+        for a in range(len(lines)):
+            for k in range(1, WINDOW + 1):
+                piece = [(x.strip(" \t\r\n"), len(x) >= LONG_CHARS) for x in lines[a : a + k]]
+                if len(piece) == k and (k == WINDOW or any(long for _, long in piece)) and seen.setdefault(tuple(piece), (i, a)) != (i, a):
+                    gone[i] |= set(range(a, a + k))
+    return sorted((i, "".join(x for p, x in enumerate(lines) if p not in gone[i]), len(gone[i])) for i, lines in held)
+
+
+def test_lines_that_stand_elsewhere_first(spark):
+    """Passages whose single lines all stand earlier among other lines, and texts drawn from few lines."""
+    rng = np.random.default_rng(7)
+    lines = [f"Line {k} of few." for k in range(14)] + [f"Long {k} " + "x" * LONG_CHARS + "." for k in range(4)]
+    passage = lines[:6]
+    rows = [(1, "\n".join(f"Only {k}.\n{x}" for k, x in enumerate(passage))), (2, "\n".join(["Second.", *passage])), (3, "\n".join([*passage, "Third."])), (4, "\n".join([f"A.\n{lines[14]}\nB."])), (5, f"Five.\n{lines[6]}\n{lines[14]}"), (6, f"Six.\n{lines[6]}\n{lines[14]}\n{lines[7]}")]
+    rows += [(10 + d, "\n".join(lines[int(k)] for k in rng.integers(0, len(lines), int(rng.integers(1, 60))))) for d in range(60)]
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in line_dedup(table(spark, rows)).collect())
+    assert got == every_repeat(rows)
+    assert got[2][1] == "Third." and got[5][1] == f"Six.\n{lines[7]}"
