@@ -15,14 +15,13 @@ from quern.llm.decontaminate import contamination
 from quern.llm.language_id import UNKNOWN, held_out, identify_language, learn_profiles
 from quern.llm.line_dedup import line_dedup
 from quern.llm.queries import documents, tokenizer_file
+from quern.llm.near_copies import near_classes
 from quern.llm.shared import written
-from quern.llm.simhash import THIRDS, simhash_classes
 
 #: Score under which a text is near no language's profile; ordinary texts score over twice that.
 LEAST_SCORE = 0.15
-#: Near copies share shingles of five words with a similarity of about 0.8 or more: 11 of 64 bits in one
-#: fingerprint, as far as three anchored blocks reach, and 24 of 128 in two.
-NEAR = {"words": 5, "threshold": 11, "parts": THIRDS, "both": 24}
+#: Near copies share this part of their distinct shingles of five words, or more.
+NEAR = {"words": 5, "least": 0.8}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +40,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate class stays, once; rows with null ids stay."""
-    classes = simhash_classes(docs, **NEAR)
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = near_classes(docs, **NEAR).groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("s")).select(F.col("s.doc_id").alias("__d"), F.col("s.h").alias("__h"))
+    keyed = docs.where("doc_id is not null").withColumn("__t", F.xxhash64("text"))
+    named = keyed.join(kept, (F.col("doc_id") == F.col("__d")) & (F.col("__t") == F.col("__h")), "left_semi").dropDuplicates(["doc_id", "__t"])
     return named.select(docs.columns).unionAll(docs.where("doc_id is null"))
 
 
