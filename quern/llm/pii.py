@@ -22,10 +22,14 @@ from pyspark.sql import functions as F
 #: Rounds of the Feistel network.
 ROUNDS = 8
 KINDS = ("email", "iban", "ip", "date", "ssn", "card", "phone")
+#: Countries by the length of their account numbers (IBAN registry).
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}
+#: Account numbers end where their country's length does, if nothing else follows directly; else as far as groups of four go.
+IBAN = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items()) + "|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
 #: Candidates of each kind (fixed patterns); what follows a digit or letter directly is none.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}}){IBAN}(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -206,20 +210,33 @@ def _mixed(chars: Column, key: str, kind: str) -> Column:
 
 
 def _iban(hit: Column, key: str) -> Column:
-    """The country stays, the account is permuted, the check digits follow."""
+    """The country stays, the account is permuted, the check digits follow. Words after the number stay as they are."""
     zero = F.array(F.lit("0"), F.lit("0"))
 
-    def shown(chars: Column) -> Column:
-        country, account = F.slice(chars, 1, 2), F.slice(chars, 5, F.greatest(F.size(chars) - 4, F.lit(0)))
+    def valid(value: Column) -> Column:
+        def checked(chars: Column) -> Column:
+            return (_mod97(F.concat(F.slice(chars, 5, F.greatest(F.size(chars) - 4, F.lit(0))), F.slice(chars, 1, 4))) == 1) & F.size(chars).between(15, 34)
 
-        def whole(new: Column) -> Column:
-            check = F.lpad((98 - _mod97(F.concat(new, country, zero))).cast("string"), 2, "0")
-            return _refilled(hit, F.concat(country, _chars(check), new), "[A-Z0-9]")
+        return let(_chars(F.replace(value, F.lit(" "), F.lit(""))), checked)
 
-        valid = (_mod97(F.concat(account, country, F.slice(chars, 3, 2))) == 1) & F.size(chars).between(15, 34)
-        return F.when(valid, let(_mixed(account, key, "iban"), whole))
+    def made(value: Column) -> Column:
+        def shown(chars: Column) -> Column:
+            country, account = F.slice(chars, 1, 2), F.slice(chars, 5, F.greatest(F.size(chars) - 4, F.lit(0)))
 
-    return let(_chars(F.replace(hit, F.lit(" "), F.lit(""))), shown)
+            def whole(new: Column) -> Column:
+                check = F.lpad((98 - _mod97(F.concat(new, country, zero))).cast("string"), 2, "0")
+                return _refilled(value, F.concat(country, _chars(check), new), "[A-Z0-9]")
+
+            return let(_mixed(account, key, "iban"), whole)
+
+        return F.concat(let(_chars(F.replace(value, F.lit(" "), F.lit(""))), shown), F.substring(hit, F.length(value) + 1, F.length(hit)))
+
+    def shorter(groups: Column) -> Column:
+        """The hit without none, one and more of its last groups, the longest first."""
+        return F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+
+    good = F.slice(F.filter(let(F.split(hit, " "), shorter), valid), 1, 1)
+    return F.get(F.transform(good, made), F.lit(0))
 
 
 def _email(hit: Column, key: str) -> Column:

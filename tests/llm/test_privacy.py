@@ -49,6 +49,19 @@ def test_values(spark):
     assert linked[0] in got[1].text and linked[1] in got[1].text and a in got[5].text
 
 
+def test_words_after_account_numbers(spark):
+    """A currency, a bank code or another number behind an account number does not keep it in clear."""
+    es, de, xx = "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "XX83 1234 5678 9012 3456"
+    assert mod97(es) and mod97(de) and mod97(xx)
+    ends = [f"{es} EUR", f"{es.replace(' ', '')} BIC CAIX", f"{es} {de} A1", f"{xx} USD", f"{xx} ABCD EFGH 12", f"{es} 2020-02-29"]
+    got = {r.doc_id: r.text for r in P.pseudonymise(table(spark, list(enumerate(ends))), "k").collect()}
+    for k, text in enumerate(ends):
+        new = got[k]
+        assert len(new) == len(text) and not any(x in new for x in (es, es.replace(" ", ""), de, xx))
+    assert got[0].endswith(" EUR") and got[1].endswith(" BIC CAIX") and got[3].endswith(" USD") and got[4].endswith(" ABCD EFGH 12")
+    assert mod97(got[0][:29]) and mod97(got[1][:24]) and mod97(got[2][:29]) and mod97(got[2][30:57]) and mod97(got[3][:24]) and not got[5].endswith("2020-02-29")
+
+
 def test_bijections(spark):
     """Every vector of a small space has a partner of its own."""
     for radices in ((7, 5), (10, 10, 10), (3,), (4, 1, 6)):
