@@ -16,8 +16,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """Columns ``node`` and ``root`` (the smallest node reachable) for each node of ``links`` (``u``, ``v``).
 
     Alternating large-star and small-star rounds: each node hands its neighbours the smallest one it
-    knows. A round is two aggregations with map-side minima and two joins, which adaptive execution
-    splits where one node has very many links. The rounds needed grow with the logarithm of the
+    knows. A round is two aggregations with map-side minima and two joins. The minima are written before they are
+    joined, so both sides of a join are plain exchanges, which adaptive execution splits where one node has very many links. The rounds needed grow with the logarithm of the
     longest chain. Each round ends in a written table, so a lost executor costs one round at most.
     Links of a node to itself, repeated links and an empty table are allowed.
     """
@@ -25,13 +25,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     state = _state(now)
     while True:
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        step = written(large)
-        smaller = step.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        step = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        smaller = written(step.groupBy("u").agg(F.min("v").alias("m")))
         small = step.join(smaller, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(smaller.select("u", F.col("m").alias("v"))).distinct()
         new = written(small)
-        drop_written(links.sparkSession, now, step)
+        drop_written(links.sparkSession, now, least, step, smaller)
         now, before, state = new, state, _state(new)
         if state == before:
             break

@@ -24,6 +24,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of the table of rarest terms up to which it is broadcast; beyond, the join is a shuffled one.
 BROADCAST_TERMS = 50_000
+#: Words that one row carries while positions are listed; with a window's reach on either side every posting sees its context.
+BLOCK = 256
 
 
 def _raw_words(text: Column) -> Column:
@@ -31,9 +33,13 @@ def _raw_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
 
 
-def _folded(words: Column) -> Column:
+def _fold(word: Column) -> Column:
     """A-Z as a-z and nothing else."""
-    return F.transform(words, lambda w: F.translate(w, UPPER, LOWER))
+    return F.translate(word, UPPER, LOWER)
+
+
+def _folded(words: Column) -> Column:
+    return F.transform(words, _fold)
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -49,9 +55,9 @@ def rarest_terms(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     first, and after it, no further than a window reaches."""
     words = items.select("item_id", _folded(_raw_words(F.col("text"))).alias("words")).where(F.size("words") > 0)
     words = written(words.groupBy("item_id", "words").count().select(F.xxhash64("item_id", "words").alias("k"), "item_id", "words", F.size("words").alias("n")))
-    placed = words.select("k", "n", F.posexplode("words").alias("offset", "word")).withColumn("term", F.lower("word"))
+    placed = words.select("k", "n", F.posexplode("words").alias("offset", "term"))
     vocabulary = placed.select("term").distinct()
-    every = docs.select(F.explode(F.split(F.lower("text"), SEPARATORS)).alias("term"))
+    every = docs.select(F.explode(F.split("text", SEPARATORS)).alias("raw")).select(_fold(F.col("raw")).alias("term"))
     counts = every.join(_sized(vocabulary), "term", "left_semi").groupBy("term").count()
     starts = words.select("k", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0)))).alias("start"))
     places = starts.select("k", "start", F.explode(F.sequence("start", F.least(F.col("start") + window, F.col("n")) - 1)).alias("offset"))
@@ -65,7 +71,6 @@ def rarest_terms(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
             "n",
             F.reverse(F.slice("words", F.greatest(F.col("offset") - window + 2, F.lit(1)), F.least(F.col("offset"), F.lit(window - 1)))).alias("left"),
             F.slice("words", F.col("offset") + 2, F.lit(window - 1)).alias("right"),
-            F.element_at("words", F.col("offset") + 1).alias("word"),
         ).alias("ref"),
     )
     return written(around.groupBy("term").agg(F.collect_list("ref").alias("refs")))
@@ -77,21 +82,28 @@ def _sized(terms: DataFrame) -> DataFrame:
 
 
 def phrase_postings(docs: DataFrame, terms: DataFrame, window: int) -> DataFrame:
-    """The stored postings: (doc_id, h, term, pos, left, word, right) for each occurrence of a rarest term.
+    """The stored postings: (doc_id, h, term, pos, left, right) for each occurrence of a rarest term.
 
-    ``h`` is a hash of the text that tells rows with one id apart; equal rows have equal postings.
+    ``h`` is a hash of the text that tells rows with one id apart; equal rows have equal postings. A text is cut into
+    blocks of BLOCK words and positions are listed by block, so that what a row holds does not grow with the text.
     """
-    words = docs.select("doc_id", F.xxhash64("text").alias("h"), F.split("text", SEPARATORS).alias("words"))
-    each = words.select("doc_id", "h", "words", F.posexplode("words").alias("pos", "raw"))
-    near = each.withColumn("term", F.lower("raw")).join(_sized(terms.select("term")), "term")
-    return near.select(
+    words = docs.select("doc_id", F.xxhash64("text").alias("h"), F.split("text", SEPARATORS).alias("words")).where("words is not null")
+
+    def block(k: Column) -> Column:
+        lead = F.least(k * BLOCK, F.lit(window - 1))
+        return F.struct((k * BLOCK - lead).alias("start"), lead.alias("lead"), F.slice("words", k * BLOCK - lead + 1, lead + BLOCK + window - 1).alias("words"))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / BLOCK).cast("int"))
+    blocks = words.select("doc_id", "h", F.explode(F.transform(numbers, block)).alias("b")).select("doc_id", "h", "b.*")
+    each = blocks.select("doc_id", "h", "start", "lead", "words", F.posexplode("words").alias("at", "raw"))
+    own = each.where((F.col("at") >= F.col("lead")) & (F.col("at") < F.col("lead") + BLOCK)).withColumn("term", _fold(F.col("raw")))
+    return own.join(_sized(terms.select("term")), "term").select(
         "doc_id",
         "h",
         "term",
-        "pos",
-        F.translate("raw", UPPER, LOWER).alias("word"),
-        F.reverse(_folded(F.slice("words", F.greatest(F.col("pos") - window + 2, F.lit(1)), F.least(F.col("pos"), F.lit(window - 1))))).alias("left"),
-        _folded(F.slice("words", F.col("pos") + 2, F.lit(window - 1))).alias("right"),
+        (F.col("start") + F.col("at")).alias("pos"),
+        F.reverse(_folded(F.slice("words", F.greatest(F.col("at") - window + 2, F.lit(1)), F.least(F.col("at"), F.lit(window - 1))))).alias("left"),
+        _folded(F.slice("words", F.col("at") + 2, F.lit(window - 1))).alias("right"),
     )
 
 
@@ -102,8 +114,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, text: str
     A-Z become lower case; words are runs of digits, a-z and non-ASCII characters. A window is
     ``window`` consecutive words of an item, or a whole shorter item. A word of a document is hit if it
     lies inside an occurrence of a window. Null and empty texts have no words and hit nothing, items
-    without words match nothing; null ids and repeated rows are kept; an empty benchmark hits nothing;
-    columns other than id and text are not read. An item_id with several texts is hit by any of them.
+    without words match nothing; null ids and repeated rows are kept; an empty benchmark hits nothing, and an
+    empty table gives no row; columns other than id and text are not read. An item_id with several texts is hit
+    by any of them. Texts of any length are searched whole: what is held for one grows in proportion to its hits.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     terms = rarest_terms(docs, items.select("item_id", "text"), window)
@@ -112,28 +125,32 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, text: str
 
     def aligned(r: Column) -> Column:
         before, after = _agreement(r["left"], F.col("left")), _agreement(r["right"], F.col("right"))
-        same = r["word"] == F.col("word")
-        context = F.concat("left", F.array("word"), "right")
-        wanted = F.array_distinct(F.concat(r["left"], F.array(r["word"]), r["right"]))
-        close = same & (F.size(F.array_intersect(wanted, context)) >= F.least(r["n"], F.lit(window)))
-        exact = same & (before + after + 1 >= F.least(r["n"], F.lit(window)))
-        return F.struct(r["item_id"].alias("item_id"), exact.alias("exact"), close.alias("near"), (F.col("pos") - before).alias("first"), (F.col("pos") + after + 1).alias("last"))
+        term = F.array("term")
+        context = F.concat("left", term, "right")
+        wanted = F.array_distinct(F.concat(r["left"], term, r["right"]))
+        close = F.size(F.array_intersect(wanted, context)) >= F.least(r["n"], F.lit(window))
+        exact = before + after + 1 >= F.least(r["n"], F.lit(window))
+        first, last = (F.col("pos") - before).cast("long"), (F.col("pos") + after + 1).cast("long")
+        return F.struct(r["item_id"].alias("item_id"), exact.alias("exact"), close.alias("near"), (F.shiftleft(first, 32) + last).alias("span"))
 
     found = joined.select("doc_id", "h", F.filter(F.transform("refs", aligned), lambda m: m["exact"] | m["near"]).alias("m")).where(F.size("m") > 0)
     rows = found.select(
         "doc_id",
         "h",
-        F.array_distinct(F.transform(F.filter("m", lambda m: m["exact"]), lambda m: F.struct(m["first"].alias("first"), m["last"].alias("last")))).alias("spans"),
+        F.array_distinct(F.transform(F.filter("m", lambda m: m["exact"]), lambda m: m["span"])).alias("spans"),
         F.array_distinct(F.transform(F.filter("m", lambda m: m["exact"]), lambda m: m["item_id"])).alias("items"),
         F.array_distinct(F.transform(F.filter("m", lambda m: m["near"]), lambda m: m["item_id"])).alias("near_items"),
     )
+    # spans are longs (first word above, end below), which are told apart and sorted without comparing pairs
     whole = rows.groupBy("doc_id", "h").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("spans", "items", "near_items")))
+    taken = F.transform(F.array_sort("spans"), lambda s: F.struct(F.shiftright(s, 32).cast("int").alias("first"), s.bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("last")))
     start = F.struct(F.lit(-1).alias("upto"), F.lit(0).alias("hit"))
 
     def cover(acc: Column, s: Column) -> Column:
         return F.struct(F.greatest(acc["upto"], s["last"]).alias("upto"), (acc["hit"] + F.greatest(s["last"] - F.greatest(s["first"], acc["upto"]), F.lit(0))).alias("hit"))
 
-    hits = whole.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "items", "near_items", F.array_sort("spans").alias("spans"), F.aggregate(F.array_sort("spans"), start, cover, lambda a: a["hit"]).alias("n_hit"))
+    merged = whole.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "items", "near_items", taken.alias("spans"))
+    hits = merged.withColumn("n_hit", F.aggregate("spans", start, cover, lambda a: a["hit"]))
 
     def number(parts: Column) -> Column:
         return F.size(parts) - (parts[0] == "").cast("int") - ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,11 @@ def fingerprint_of(canonical_text: str) -> str:
     return xxhash.xxh3_128_hexdigest(canonical_text.encode("utf-8", "surrogatepass"))
 
 
+def tie_of(text: Column) -> Column:
+    """A hash of the text as it is, which tells rows with one id apart."""
+    return F.xxhash64(text)
+
+
 def exact_digests(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, ``fingerprint`` and ``canonical`` for each row of ``docs``; nothing is shuffled."""
     picked = docs.select(*keep, F.col(text).alias("__text"))
@@ -52,42 +57,47 @@ def exact_digests(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
 
 
 def exact_classes(docs: DataFrame, prints: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Columns doc_id, fingerprint, class_id and n_copies for each row of ``prints`` (doc_id, fingerprint).
-
-    ``prints`` are written fingerprints of ``docs``. class_id is the smallest id whose canonical text has the same
-    bytes. Counts come from an aggregation with map-side sums; only rows of buckets with several ids fetch
-    their text again, and each bucket's rows meet one text of the bucket, not each other. Rows whose bytes
-    differ from it (a collision of the hash) are classed among themselves by their bytes. Null ids
-    belong to a class and never name one, unless it has no other.
+    """The rows and columns of ``prints`` (doc_id, fingerprint, tie and any others) with class_id and n_copies, which
+    replace columns of these names.
+
+    ``prints`` are written fingerprints of ``docs``; ``tie`` is ``tie_of`` the text and tells rows with one id apart.
+    class_id is the smallest id whose canonical text has the same bytes; null ids belong to a class and never name one,
+    unless it has no other (class_id null). Counts come from an aggregation with map-side sums; only rows of buckets
+    with several rows fetch their text again, null ids too, and each bucket's rows meet one text of the bucket, not each
+    other. Rows whose bytes differ from it (a collision of the hash) are classed among themselves by their bytes.
+    Every row of ``prints`` gives one row, repeated ones too; an empty table gives none. Texts of any length are
+    compared whole; columns of ``docs`` other than id and text are not read.
     """
+    prints = prints.drop("class_id", "n_copies")
     # written, so that the joins below are joins of plain exchanges, which adaptive execution splits at a large bucket
-    least = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    several = least.where("n > 1")
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    wanted = written(prints.join(several, "fingerprint").where("doc_id is not null").select("doc_id").distinct())
+    least = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("__least"), F.count("*").alias("__n")))
+    several = least.where("__n > 1").select("fingerprint", F.col("__least").alias("least"))
+    wanted = written(prints.join(several, "fingerprint").select(F.col("doc_id").alias("__d"), F.col("tie").alias("__t")).distinct())
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    bytes_of = exact_digests(source.join(few, "doc_id", "left_semi")).select("doc_id", "fingerprint", "canonical")
-    shared = bytes_of.join(several.select("fingerprint", "least"), "fingerprint")
-    head = written(shared.where("doc_id = least").groupBy("fingerprint").agg(F.min("canonical").alias("head")))
-    differs = shared.join(head, "fingerprint").where("canonical <> head")
-    apart = differs.groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("own"), F.count("*").alias("m"))
-    odd = differs.join(apart, ["fingerprint", "canonical"]).select(F.col("doc_id").alias("__d"), F.col("fingerprint").alias("__f"), "own", "m").distinct()
-    odd = written(odd)  # as good as always empty
-    base = prints.join(least, "fingerprint")
-    if odd.isEmpty():
-        return base.select("doc_id", "fingerprint", F.col("least").alias("class_id"), F.col("n").alias("n_copies"))
-    lost = odd.groupBy("__f").agg(F.count("*").alias("lost")).select(F.col("__f").alias("__g"), "lost")
-    both = base.join(odd, (base.doc_id == odd["__d"]) & (base.fingerprint == odd["__f"]), "left").join(lost, base.fingerprint == lost["__g"], "left")
-    return both.select("doc_id", "fingerprint", F.coalesce("own", "least").alias("class_id"), F.coalesce("m", F.col("n") - F.coalesce("lost", F.lit(0))).alias("n_copies"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), tie_of(F.col(text)).alias("tie"))
+    found = source.join(few, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("tie") == F.col("__t")), "left_semi")
+    shared = exact_digests(found, keep=("doc_id", "tie")).join(several, "fingerprint")
+    head = written(shared.where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("fingerprint").agg(F.min("canonical").alias("head")))
+    differs = written(shared.join(head, "fingerprint").where("canonical <> head").select("doc_id", "tie", "fingerprint", "canonical"))  # as good as always empty
+    if differs.isEmpty():
+        return prints.join(least, "fingerprint").select(*prints.columns, F.col("__least").alias("class_id"), F.col("__n").alias("n_copies"))
+    apart = differs.groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("__own"), F.count("*").alias("__m"))
+    odd = written(differs.join(apart, ["fingerprint", "canonical"]).select(F.col("doc_id").alias("__d"), F.col("tie").alias("__t"), F.col("fingerprint").alias("__f"), "__own", "__m").distinct())
+    lost = differs.groupBy("fingerprint").agg(F.count("*").alias("__lost"))
+    base = prints.join(least, "fingerprint").join(lost, "fingerprint", "left")
+    both = base.join(odd, base.doc_id.eqNullSafe(odd["__d"]) & (base.tie == odd["__t"]) & (base.fingerprint == odd["__f"]), "left")
+    own = F.col("__f").isNotNull()
+    return both.select(*(base[c] for c in prints.columns), F.when(own, F.col("__own")).otherwise(F.col("__least")).alias("class_id"), F.when(own, F.col("__m")).otherwise(F.col("__n") - F.coalesce("__lost", F.lit(0))).alias("n_copies"))
 
 
 def edited_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_parts: int | None = None) -> DataFrame:
-    """For each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """For each row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, tie.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all)
     of the next document in descending order of doc_id; the last one's next is the first. Likeness is 1
     if the canonical bytes are equal and 0 if not. Nulls count as empty texts; null ids come last; rows
-    with one id follow each other in the order of a hash of the text. An only document is its own next.
+    with one id follow each other in the order of ``tie``, a hash of the text. An only document is its own next.
+    An empty table gives no row; texts of any length are edited whole; columns other than id and text are not read.
 
     Ids are sorted first, without texts. Their ranges (one row for each reaches the driver) deal the texts out
     by range, and the first document of each range goes to the range before it as well: every task finds
@@ -95,7 +105,7 @@ def edited_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rank", F.when(F.col("doc_id").isNull(), F.lit(-(2**63))).otherwise(F.col("doc_id"))).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rank", F.when(F.col("doc_id").isNull(), F.lit(-(2**63))).otherwise(F.col("doc_id"))).withColumn("tie", tie_of(F.col("text")))
     keys = rows.select("rank", "tie").repartitionByRange(n, F.desc("rank"), F.desc("tie")).sortWithinPartitions(F.desc("rank"), F.desc("tie"))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,23 +133,23 @@ def edited_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), pa.array(guest), *(c.take(take) for c in b.columns)], names=["bucket", "guest", *b.schema.names])
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (bucket, doc_id, text, canonical, fingerprint) of the row before
+        held = None  # (bucket, doc_id, text, canonical, fingerprint, tie) of the row before
         out: list[tuple] = []
 
         def pair(a: tuple, b: tuple) -> tuple:
             half = len(a[2]) // 2
             edited = a[2][: len(a[2]) - half] + b[2][:half]
             folded = canonical(edited)
-            return (a[1], len(a[2]), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), a[4], fingerprint_of(folded), float(folded == a[3]), float(a[3] == b[3]))
+            return (a[1], len(a[2]), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), a[4], fingerprint_of(folded), float(folded == a[3]), float(a[3] == b[3]), a[5])
 
         def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=RESULT.names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=RESULT.names)
 
         for b in steps(batches):
-            cols = {k: b.column(b.schema.get_field_index(k)).to_pylist() for k in ("bucket", "guest", "doc_id")}
-            for bucket, guest, i, t in zip(cols["bucket"], cols["guest"], cols["doc_id"], texts_of(b), strict=True):
+            cols = {k: b.column(b.schema.get_field_index(k)).to_pylist() for k in ("bucket", "guest", "doc_id", "tie")}
+            for bucket, guest, i, tie, t in zip(cols["bucket"], cols["guest"], cols["doc_id"], cols["tie"], texts_of(b), strict=True):
                 folded = canonical(t)
-                row = (bucket, i, t, folded, fingerprint_of(folded))
+                row = (bucket, i, t, folded, fingerprint_of(folded), tie)
                 if held is not None and held[0] == bucket:
                     out.append(pair(held, row))
                 held = None if guest else row
@@ -155,4 +165,4 @@ def edited_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return placed.mapInArrow(edit, RESULT)
 
 
-RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), *(T.StructField(k, T.StringType()) for k in ("edited_sha256", "fingerprint", "edited_fingerprint")), *(T.StructField(k, T.DoubleType()) for k in ("near_edited", "near_next"))])
+RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), *(T.StructField(k, T.StringType()) for k in ("edited_sha256", "fingerprint", "edited_fingerprint")), *(T.StructField(k, T.DoubleType()) for k in ("near_edited", "near_next")), T.StructField("tie", T.LongType())])

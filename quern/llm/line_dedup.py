@@ -8,9 +8,9 @@ enough, and has a fingerprint in common, at the same place of the run. Each fing
 to its first one, in the order of (doc_id, hash of the text, position), and the match is extended
 both ways over the neighbouring hashes that travel with it. Fingerprints inside a run are at most
 WINDOW lines apart, so neighbours up to that distance close every gap. That first one may stand among
-other lines than a later pair has in common, so the WINDOW lines (and the shorter pieces that end in a long line)
-around a fingerprint that the match leaves out are joined once more, each to the first place of the
-same lines. Runs that are long enough are deleted where they repeat; their first occurrence always stays.
+other lines than a later pair has in common, so the windows that a fingerprint was selected from (and the shorter pieces
+that begin or end with it, if it is a long line) are joined once more where the match leaves them out, each to the
+first place of the same lines. Runs that are long enough are deleted where they repeat; their first occurrence always stays.
 """
 
 from __future__ import annotations
@@ -47,8 +47,9 @@ def _short(x: Column) -> Column:
 
 
 def _fingerprints(hashed: DataFrame) -> DataFrame:
-    """(ord, th, pos, hash, around): the selected positions of each document, with the hashes of the
-    neighbours up to WINDOW lines away, shortened to 31 bits."""
+    """(ord, th, pos, hash, around, wins): the selected positions of each document, with the hashes of the
+    neighbours up to WINDOW lines away, shortened to 31 bits. Bit k of ``wins`` tells that the position was
+    selected from the window that begins k lines before it; each window has one."""
     each = hashed.select("ord", "th", "hashes", F.posexplode("hashes").alias("pos", "hash"))
     n = F.size("hashes")
 
@@ -60,13 +61,13 @@ def _fingerprints(hashed: DataFrame) -> DataFrame:
             ok = ok & F.coalesce(x > F.col("hash") if step > 0 else x >= F.col("hash"), F.lit(False))
         return ok
 
-    least = F.lit(False)
+    wins = F.lit(0)
     for left in range(WINDOW):
-        least = least | (beats(-1, left) & beats(1, WINDOW - 1 - left))
+        wins = wins + F.when(beats(-1, left) & beats(1, WINDOW - 1 - left), 1 << left).otherwise(0)
     alone = (n < WINDOW) & (F.col("hash") == F.array_min("hashes"))
-    chosen = each.where((F.col("hash") % 2 != 0) | least | alone)
+    chosen = each.withColumn("wins", wins).where((F.col("hash") % 2 != 0) | (F.col("wins") > 0) | alone)
     around = F.slice("hashes", F.greatest(F.col("pos") - WINDOW + 1, F.lit(1)), F.least(F.col("pos"), F.lit(WINDOW)) + WINDOW + 1)
-    return chosen.select("ord", "th", "pos", "hash", F.transform(around, _short).alias("around"))
+    return chosen.select("ord", "th", "pos", "hash", F.transform(around, _short).alias("around"), "wins")
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -93,7 +94,7 @@ def repeated_runs(hashed: DataFrame) -> DataFrame:
         return F.slice(around, F.least(pos, F.lit(WINDOW)) + 2, F.lit(WINDOW))
 
     mine, other = (F.col("pos"), F.col("around")), (F.col("f.pos"), F.col("f.around"))
-    matched = pairs.select("ord", "th", "pos", "hash", "around", F.least(F.col("pos"), F.lit(WINDOW)).alias("at"), _agreement(before(*mine), before(*other)).alias("back"), _agreement(after(*mine), after(*other)).alias("on"))
+    matched = pairs.select("ord", "th", "pos", "hash", "around", "wins", F.least(F.col("pos"), F.lit(WINDOW)).alias("at"), _agreement(before(*mine), before(*other)).alias("back"), _agreement(after(*mine), after(*other)).alias("on"))
     inside = F.slice("around", F.col("at") + 1 - F.col("back"), F.col("back") + 1 + F.col("on"))
     enough = (F.col("back") + 1 + F.col("on") >= WINDOW) | F.exists(inside, lambda x: x % 2 != 0)
 
@@ -103,7 +104,7 @@ def repeated_runs(hashed: DataFrame) -> DataFrame:
     def left_out(size: int, lead: int) -> Column:
         """The ``size`` lines from ``lead`` before the fingerprint, if they are there and go beyond the match."""
         ok = (F.col("at") >= lead) & (F.col("at") - lead + size <= F.size("around")) & ((F.col("back") < lead) | (F.col("on") < size - 1 - lead))
-        ok = ok if size == WINDOW else ok & (F.col("hash") % 2 != 0)
+        ok = ok & (F.col("wins").bitwiseAND(F.lit(1 << lead)) != 0) if size == WINDOW else ok & (F.col("hash") % 2 != 0)
         start = F.col("pos") - lead
         return F.when(ok, run(start, start + size, F.xxhash64(F.lit(size), F.slice("around", F.col("at") - lead + 1, F.lit(size)))))
 

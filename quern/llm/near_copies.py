@@ -1,14 +1,19 @@
-"""Near copies by the exact similarity of their shingles, for the pipeline's near-dedup stage.
+"""Near copies by SimHash prints and the exact similarity of their shingles, for the pipeline's near-dedup stage.
 
 Two texts are near copies if the sets of their shingles have a Jaccard similarity of ``least`` or more; classes
-are the components of that relation. Candidates come from minima of hash values (MinHash): BANDS bands
-of ROWS minima each, and texts that agree in a whole band are linked to the smallest one of that band. The components
-of these links only say where to look; inside each, the similarities decide. Two texts of similarity s share no
-band with probability (1 - s**ROWS)**BANDS: 3e-6 at 0.8.
-
-Inside a component one text after another is a pivot, compared with all that are open. The Jaccard distance is
-a metric, so two texts whose distances from a pivot differ by more than the bound are no near copies. A text is
-closed once all others that it could be linked to are in its class or were pivots; a tight group needs few pivots.
+are the components of that relation. Candidates come from two sides. SimHash prints that differ in at most
+PRINT_BITS bits are linked by anchor-point covering (``simhash_links``). At 0.8, prints of 64 bits differ in about
+10 bits, with a spread of 3: a threshold that catches those pairs also catches unrelated ones by chance in any large
+corpus. So the pairs that lie further apart come from minima of the same hash values (MinHash): BANDS bands of ROWS minima
+each, and texts that agree in a whole band are linked to the smallest one of that band. Two texts of similarity s share
+no band with probability (1 - s**ROWS)**BANDS: 3e-6 at 0.8.
+
+The components of all these links only say where to look; inside each, the similarities decide. One text after another is
+a pivot, compared with all that are open. The Jaccard distance is a metric, so two texts whose distances from a pivot
+differ by more than the bound are no near copies. A text is closed once all others that it could be linked to are
+linked to the same pivot; a tight group needs few pivots. Components of up to HELD_SHINGLES shingles are done in one task.
+Larger ones are dealt to many: each round, every share of a component meets the component's pivot, and what stays open goes
+on, until it fits into one task.
 """
 
 from __future__ import annotations
@@ -23,10 +28,17 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import steps, texts_of, written
+from .simhash import SEED, _majority, shingle_hashes, simhash_links
 
 BANDS, ROWS = 32, 5
-#: Seed of the XXH64 values, and that of the numbers that deal them anew for each minimum.
-SEED, DEAL_SEED = 42, 2024
+#: Bits in which SimHash prints of candidates differ at most.
+PRINT_BITS = 4
+#: Shingles of a component up to which one task handles it whole; larger ones are dealt to shares of that size.
+HELD_SHINGLES = 2_000_000
+#: Steps from 0 to 1 in which the distances of a component's other texts from its pivot are told.
+DISTANCES = 100
+#: Seed of the numbers that deal the hash values anew for each minimum.
+DEAL_SEED = 2024
 MIXED, FACTOR = np.random.default_rng(DEAL_SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64) | np.array([[[0]], [[1]]], np.uint64)
 #: Hash values handled in one vectorised step.
 STEP = 4096
@@ -37,16 +49,9 @@ def words_of(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
-def shingles(flat: bytes, words: int) -> np.ndarray:
+def shingles(text: str | None, words: int) -> np.ndarray:
     """The distinct XXH64 values of the shingles of ``words`` words; fewer words are one shingle, none give none."""
-    found = flat.split()
-    if not found:
-        return np.empty(0, np.uint64)
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.cumsum(sizes + 1) - 1
-    first, last = (ends - sizes)[: max(1, len(found) - words + 1)].tolist(), ends[min(words, len(found)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(flat[a:b], SEED) for a, b in zip(first, last, strict=True)], np.uint64))
+    return np.unique(shingle_hashes(text, words)[0].view(">u8").astype(np.uint64).ravel())
 
 
 def bands(values: np.ndarray) -> list[int]:
@@ -64,6 +69,12 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >> 63 else x
 
 
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / max(1, len(a) + len(b) - common)
+
+
 def classes(sets: list[np.ndarray], least: float) -> np.ndarray:
     """For each set the number of the first set of its class: the components of the pairs of similarity ``least`` or more."""
     n = len(sets)
@@ -99,22 +110,22 @@ def classes(sets: list[np.ndarray], least: float) -> np.ndarray:
     return label
 
 
-def near_classes(docs: DataFrame, words: int = 5, least: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each row of ``docs`` with an id: doc_id, h (a hash of the text that tells rows with one id apart), and
-    class, a number that near copies share.
+def _links(signed: DataFrame) -> DataFrame:
+    """Candidate links (u, v) between texts ``k``: prints within PRINT_BITS bits, and equal bands."""
+    distinct = written(signed.dropDuplicates(["k"]).select("k", "fp", "bands"))
+    heads = written(distinct.groupBy("fp").agg(F.min("k").alias("head")))
+    same = distinct.join(heads, "fp").where("k <> head").select(F.col("k").alias("u"), F.col("head").alias("v"))
+    near = simhash_links(heads.select("fp"), PRINT_BITS)
+    u, v = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")) for c in "uv")
+    printed = near.join(u, "u").join(v, "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
+    each = distinct.select("k", F.explode("bands").alias("band"))
+    firsts = written(each.groupBy("band").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").select("band", "least"))
+    banded = each.join(firsts, "band").where("k <> least").select(F.col("k").alias("u"), F.col("least").alias("v"))
+    return same.unionAll(printed).unionAll(banded)
 
-    Texts without words are one class. A component of candidates is in one task, with the shingles of its
-    texts in memory; equal texts count once there.
-    """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    picked = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    kind = picked.schema["doc_id"].dataType.simpleString()
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches):
-            flat = [words_of(t) for t in texts_of(b)]
-            keys = [_signed(xxhash.xxh64_intdigest(x, SEED)) for x in flat]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array([bands(shingles(x, words)) for x in flat], pa.list_(pa.int64()))], names=["doc_id", "h", "k", "bands"])
+def _in_tasks(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (node, class) inside components (root, k, text) that each fit into one task."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, sets = None, [], []
@@ -131,16 +142,100 @@ def near_classes(docs: DataFrame, words: int = 5, least: float = 0.8, text: str
                 now = root
                 if not keys or keys[-1] != k:
                     keys.append(k)
-                    sets.append(shingles(words_of(t), words))
+                    sets.append(shingles(t, words))
         if keys:
             yield done()
 
-    signed = written(picked.mapInArrow(sign, f"doc_id {kind}, h long, k long, bands array<long>"))
-    each = written(signed.dropDuplicates(["k"]).select("k", F.explode("bands").alias("band")))
-    firsts = written(each.groupBy("band").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").select("band", "least"))
-    links = each.join(firsts, "band").where("k <> least").select(F.col("k").alias("u"), F.col("least").alias("v"))
-    roots = written(connected_components(links))
-    one = written(signed.groupBy("k").agg(F.min(F.struct("doc_id", "h")).alias("s")).join(roots, F.col("k") == F.col("node")).select("k", "root", F.col("s.doc_id").alias("d"), F.col("s.h").alias("t")))
-    texts = picked.join(one, (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("t"))).select("root", "k", "text")
-    sure = written(texts.repartition(n, "root").sortWithinPartitions("root", "k").mapInArrow(confirm, "node long, class long"))
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.select("root", "k", "text").repartition(n, "root").sortWithinPartitions("root", "k").mapInArrow(confirm, "node long, class long")
+
+
+def _round(now: DataFrame, large: DataFrame, words: int, least: float) -> DataFrame:
+    """(root, k, size, text, pivot, apart, linked): the texts of large components and their distance from the pivot, which has no row."""
+    n = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = now.join(large, "root")
+    pivot = placed.where("k = pivot").select("root", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("o"), "k", "size", "text")
+    others = placed.where("k <> pivot").select("root", F.pmod(F.hash("k"), F.col("shares")).alias("share"), F.lit(1).alias("o"), "k", "size", "text")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, mine, last = None, np.empty(0, np.uint64), None
+        for b in steps(batches):
+            o, k = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("o", "k"))
+            out = []
+            for i, t in enumerate(texts_of(b)):
+                if o[i] == 0:
+                    pivot, mine = k[i], shingles(t, words)
+                elif k[i] != last:  # rows that repeat id and text
+                    out.append((i, pivot, 1 - similarity(mine, shingles(t, words))))
+                    last = k[i]
+            if out:
+                rows, pivots, apart = zip(*out, strict=True)
+                kept = b.select(["root", "k", "size", "text"]).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(pivots, pa.int64()), pa.array(apart, pa.float64())], names=["root", "k", "size", "text", "pivot", "apart"])
+
+    dealt = pivot.unionByName(others).repartition(n, "root", "share").sortWithinPartitions("root", "share", "o", "k")
+    return dealt.mapInArrow(measure, "root long, k long, size long, text string, pivot long, apart double").withColumn("linked", F.col("apart") <= 1 - least + 1e-12)
+
+
+def _states(texts: DataFrame) -> DataFrame:
+    """(root, total, pivot): shingles of each component and its least text."""
+    return written(texts.groupBy("root").agg(F.sum("size").alias("total"), F.min("k").alias("pivot")))
+
+
+def confirmed(sizes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (node, class) that join exactly the texts of a component that near-copy pairs join. ``sizes`` has root, k and size
+    (distinct shingles), ``texts`` root, k, size and text.
+
+    A round closes a component's pivot at least, and the texts linked to it unless some other text lies where it could be
+    near to them. Components that fit into one task leave the rounds.
+    """
+    parts: list[DataFrame] = []
+    now, state, ended = texts, _states(sizes), F.col("total") <= HELD_SHINGLES
+    while not (over := state.where(~ended)).isEmpty():
+        parts.append(written(_in_tasks(now.join(state.where(ended).select("root"), "root", "left_semi"), words, least)))
+        large = over.select("root", "pivot", F.ceil(F.col("total") / HELD_SHINGLES).cast("int").alias("shares"))
+        measured = written(_round(now, large, words, least))
+        parts.append(measured.where("linked").select(F.col("k").alias("node"), F.col("pivot").alias("class")))
+        told = written(measured.where("not linked").groupBy("root").agg(F.collect_set(F.floor(F.col("apart") * DISTANCES)).alias("told")))
+        reach = 1 - least + 1e-9
+        beside = F.exists("told", lambda x: (x <= (F.col("apart") + reach) * DISTANCES) & (x + 1 >= (F.col("apart") - reach) * DISTANCES))
+        now = measured.join(told, "root", "left").where(~F.col("linked") | F.coalesce(beside, F.lit(False))).select("root", "k", "size", "text")
+        state = _states(now)
+    links = _in_tasks(now, words, least)
+    if not parts:
+        return links
+    for p in parts:
+        links = links.unionByName(p)
+    joined = connected_components(links.select(F.col("node").alias("u"), F.col("class").alias("v")))
+    return joined.select("node", F.col("root").alias("class"))
+
+
+def near_classes(docs: DataFrame, words: int = 5, least: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row for each row of ``docs`` with an id: doc_id, h (a hash of the text that tells rows with one id apart), and
+    class, a number that near copies share.
+
+    Texts without words are one class, equal texts count once, an empty table gives no row, and columns other than id and
+    text are not read. No task holds more than HELD_SHINGLES shingles and two texts of any length.
+    """
+    picked = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    kind = picked.schema["doc_id"].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches):
+            keys, sizes, prints, all_bands = [], [], [], []
+            for t in texts_of(b):
+                hashes = shingle_hashes(t, words)[0]
+                values = np.unique(hashes.view(">u8").astype(np.uint64).ravel())
+                keys.append(_signed(xxhash.xxh64_intdigest(words_of(t), SEED)))
+                sizes.append(len(values))
+                prints.append(_signed(_majority(hashes)))
+                all_bands.append(bands(values))
+            made = [pa.array(x, pa.int64()) for x in (keys, sizes, prints)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, pa.array(all_bands, pa.list_(pa.int64()))], names=["doc_id", "h", "k", "size", "fp", "bands"])
+
+    signed = written(picked.mapInArrow(sign, f"doc_id {kind}, h long, k long, size long, fp long, bands array<long>"))
+    roots = written(connected_components(_links(signed)))
+    one = written(signed.groupBy("k").agg(F.min(F.struct("doc_id", "h", "size")).alias("s")).join(roots, F.col("k") == F.col("node")).select("k", "root", F.col("s.size").alias("size"), F.col("s.doc_id").alias("d"), F.col("s.h").alias("t")))
+    texts = picked.join(one, (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("t"))).select("root", "k", "size", "text")
+    sure = written(confirmed(one, texts, words, least))
     return signed.select("doc_id", "h", "k").join(sure, F.col("k") == F.col("node"), "left").select("doc_id", "h", F.coalesce("class", "k").alias("class"))

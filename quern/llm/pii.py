@@ -24,26 +24,35 @@ ROUNDS = 8
 KINDS = ("email", "iban", "ip", "date", "ssn", "card", "phone")
 #: Countries by the length of their account numbers (IBAN registry).
 IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}
-#: Account numbers end where their country's length does, if nothing else follows directly; else as far as groups of four go.
-IBAN = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items()) + "|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
-#: Candidates of each kind (fixed patterns); what follows a digit or letter directly is none.
+#: Account numbers end where their country's length does, if no letter or digit follows directly; those of unlisted
+#: countries go as far as groups of four do, and words behind them are left off.
+IBAN = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items()) + ")"
+#: Candidates of each kind (fixed patterns); what follows a digit or letter directly is none. A card number may begin inside
+#: a candidate that failed: those that follow other groups are tried at every place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}}){IBAN}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}}){IBAN}",
+    "iban_other": rf"(?<![A-Za-z0-9])(?!(?:{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[0-9])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?|\([0-9]{3}\) ?)[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
+    "card_again": r"(?<=[0-9][ -])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?|\([0-9]{3}\) ?)[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9.-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9.-]*[0-9])",
 }
-#: All candidates that hold a digit; the look-ahead passes over most characters at once.
-NUMBERS = r"(?=[0-9+(A-Z])(?:" + "|".join(v for k, v in PATTERNS.items() if k != "email") + ")"
-ANY = PATTERNS["email"] + "|" + NUMBERS
+#: Kinds that are searched for together, in this order. What fails its check in one search is part of the text for the next.
+SEARCHES = (("email",), ("iban",), ("iban_other",), ("ip", "date", "ssn", "card"), ("card_again",), ("phone",))
+#: Stands, with a character for the search behind it, for what a search has found; in texts that hold it, it is written with ESCAPED behind it.
+MARK, ESCAPED = "\ue000", "\ue001"
 #: The 100 years whose dates stay among themselves, and the 400 years around them; days of both as products of two radices.
 NEAR, FAR = ("1925-01-01", 75, 487), ("1825-01-01", 276, 397)
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def _mark(n: int) -> str:
+    return MARK + chr(ord(ESCAPED) + n)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -210,33 +219,34 @@ def _mixed(chars: Column, key: str, kind: str) -> Column:
 
 
 def _iban(hit: Column, key: str) -> Column:
-    """The country stays, the account is permuted, the check digits follow. Words after the number stay as they are."""
+    """The country stays, the account is permuted, the check digits follow."""
     zero = F.array(F.lit("0"), F.lit("0"))
 
-    def valid(value: Column) -> Column:
-        def checked(chars: Column) -> Column:
-            return (_mod97(F.concat(F.slice(chars, 5, F.greatest(F.size(chars) - 4, F.lit(0))), F.slice(chars, 1, 4))) == 1) & F.size(chars).between(15, 34)
+    def shown(chars: Column) -> Column:
+        country, account = F.slice(chars, 1, 2), F.slice(chars, 5, F.greatest(F.size(chars) - 4, F.lit(0)))
 
-        return let(_chars(F.replace(value, F.lit(" "), F.lit(""))), checked)
+        def whole(new: Column) -> Column:
+            check = F.lpad((98 - _mod97(F.concat(new, country, zero))).cast("string"), 2, "0")
+            return _refilled(hit, F.concat(country, _chars(check), new), "[A-Z0-9]")
+
+        return F.when(_mod97(F.concat(account, F.slice(chars, 1, 4))) == 1, let(_mixed(account, key, "iban"), whole))
 
-    def made(value: Column) -> Column:
-        def shown(chars: Column) -> Column:
-            country, account = F.slice(chars, 1, 2), F.slice(chars, 5, F.greatest(F.size(chars) - 4, F.lit(0)))
+    return let(_chars(F.replace(hit, F.lit(" "), F.lit(""))), shown)
 
-            def whole(new: Column) -> Column:
-                check = F.lpad((98 - _mod97(F.concat(new, country, zero))).cast("string"), 2, "0")
-                return _refilled(value, F.concat(country, _chars(check), new), "[A-Z0-9]")
 
-            return let(_mixed(account, key, "iban"), whole)
+def _account_in(hit: Column) -> Column:
+    """The longest beginning of the hit, by whole groups, that is a valid account number; null if none is."""
 
-        return F.concat(let(_chars(F.replace(value, F.lit(" "), F.lit(""))), shown), F.substring(hit, F.length(value) + 1, F.length(hit)))
+    def valid(value: Column) -> Column:
+        def checked(chars: Column) -> Column:
+            return (_mod97(F.concat(F.slice(chars, 5, F.greatest(F.size(chars) - 4, F.lit(0))), F.slice(chars, 1, 4))) == 1) & F.size(chars).between(15, 34)
+
+        return let(_chars(F.replace(value, F.lit(" "), F.lit(""))), checked)
 
     def shorter(groups: Column) -> Column:
-        """The hit without none, one and more of its last groups, the longest first."""
         return F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
 
-    good = F.slice(F.filter(let(F.split(hit, " "), shorter), valid), 1, 1)
-    return F.get(F.transform(good, made), F.lit(0))
+    return F.get(F.filter(let(F.split(hit, " "), shorter), valid), F.lit(0))
 
 
 def _email(hit: Column, key: str) -> Column:
@@ -249,28 +259,58 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The rows and columns of ``docs`` with personal values in the text replaced, and ``pii``, a map from
     kind to number of values replaced (it takes the place of a column of that name).
 
-    Null texts stay null, empty ones empty; candidates that fail validation stay as they are. Nothing
-    is shuffled; repeated rows, null ids and other columns do not matter. The same key gives the same
-    pseudonyms in every run and every document.
+    Null texts stay null, empty ones empty; an empty table stays empty. Candidates that fail validation stay as they
+    are, but what stands inside them or beside them is still searched for the other kinds. Nothing is shuffled; repeated
+    rows, null ids and other columns do not matter, and texts of any length are searched whole. The same key
+    gives the same pseudonyms in every run and every document.
     """
     makers = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
-    body = F.coalesce(F.col(text), F.lit(""))
+    found = "array<struct<kind:string,new:string>>"
+
+    def replaced(hit: Column, kinds: tuple[str, ...]) -> Column:
+        """Kind, old and new value, and what of the hit is no part of the value; ``new`` is null where a check fails."""
+        if kinds == ("iban_other",):
+            tail = lambda a: F.coalesce(F.substring(hit, F.length(a) + 1, F.length(hit)), F.lit(""))
+            return let(_account_in(hit), lambda a: F.struct(F.lit("iban").alias("kind"), hit.alias("old"), F.when(a.isNotNull(), _iban(a, key)).alias("new"), tail(a).alias("tail")))
+        of = {k: hit.rlike(rf"^(?:{PATTERNS[k]})$") if len(kinds) > 1 else F.lit(True) for k in kinds}
+        new = F.coalesce(*(F.when(of[k], makers[k](hit, key)) for k in kinds))
+        return F.struct(F.coalesce(*(F.when(of[k], F.lit(k)) for k in kinds)).alias("kind"), hit.alias("old"), new.alias("new"), F.lit("").alias("tail"))
+
+    def searched(body: Column, kinds: tuple[str, ...], n: int) -> Column:
+        """The text with marks for what is found, and the finds in order; one search unless there are candidates."""
+        if kinds != ("card_again",):
+            return at(body, F.lit("|".join(PATTERNS[k] for k in kinds)), kinds, n)
+        tried = F.array_distinct(F.regexp_extract_all(body, F.lit(f"(?=({PATTERNS['card_again']}))"), F.lit(1)))
+        good = F.transform(F.filter(tried, lambda c: luhn_sum(_digits(c)) % 10 == 0), lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E")))
+        pattern = F.concat(F.lit("(?<![0-9])(?:"), F.when(F.size(good) > 0, F.array_join(good, "|")).otherwise("(?!)"), F.lit(")(?![0-9])"))
+        return let(pattern, lambda p: at(body, p, ("card",), n))
+
+    def at(body: Column, pattern: Column, kinds: tuple[str, ...], n: int) -> Column:
+        def marked(hits: Column) -> Column:
+            pairs = F.zip_with(F.split(body, pattern), hits, lambda p, h: F.array(p, F.when(h["new"].isNotNull(), F.concat(F.lit(_mark(n)), h["tail"])).otherwise(F.coalesce(h["old"], F.lit("")))))
+            kept = F.transform(F.filter(hits, lambda h: h["new"].isNotNull()), lambda h: F.struct(h["kind"].alias("kind"), h["new"].alias("new")))
+            return F.struct(F.array_join(F.flatten(pairs), "").alias("body"), kept.cast(found).alias("found"))
+
+        def made(hits: Column) -> Column:
+            return F.when(F.size(hits) > 0, let(F.transform(hits, lambda h: replaced(h, kinds)), marked)).otherwise(F.struct(body.alias("body"), F.array().cast(found).alias("found")))
+
+        return let(F.regexp_extract_all(body, pattern, F.lit(0)), made)
+
+    def put_back(body: Column, found: Column, n: int) -> Column:
+        pairs = F.zip_with(F.split(body, _mark(n)), found, lambda p, f: F.array(p, F.coalesce(f["new"], F.lit(""))))
+        return F.when(F.size(found) > 0, F.array_join(F.flatten(pairs), "")).otherwise(body)
 
-    def replaced(hit: Column) -> Column:
-        of = {k: hit.rlike(rf"^(?:{PATTERNS[k]})$") for k in makers}
-        new = F.coalesce(*(F.when(of[k], make(hit, key)) for k, make in makers.items()))
-        return F.struct(F.coalesce(*(F.when(of[k], F.lit(k)) for k in makers)).alias("kind"), hit.alias("old"), new.alias("new"))
-
-    def parts(pattern: str) -> Column:
-        """Hits with their pseudonyms and the text between them, or null without hits; one search unless there are some."""
-        found = F.array(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
-        return F.transform(found, lambda h: F.when(F.size(h) > 0, F.struct(F.transform(h, replaced).alias("hits"), F.split(body, pattern).alias("pieces"))))[0]
-
-    # a text without a digit and an @ has no candidate, and most texts have no @
-    staged = docs.drop("pii").withColumn("__parts", F.when(F.contains(body, F.lit("@")), parts(ANY)).when(body.rlike("[0-9]"), parts(NUMBERS)))
-    staged = staged.withColumns({"__hits": F.col("__parts.hits"), "__pieces": F.col("__parts.pieces")})
-    joined = F.array_join(F.flatten(F.zip_with("__pieces", "__hits", lambda p, h: F.array(p, F.coalesce(h["new"], h["old"], F.lit(""))))), "")
-    kinds = F.transform(F.filter("__hits", lambda h: h["new"].isNotNull()), lambda h: h["kind"])
+    body = F.coalesce(F.col(text), F.lit(""))
+    staged = docs.drop("pii").withColumn("__0", F.struct(F.when(F.contains(body, F.lit(MARK)), F.replace(body, F.lit(MARK), F.lit(MARK + ESCAPED))).otherwise(body).alias("body")))
+    for n, kinds in enumerate(SEARCHES, 1):
+        before = F.col(f"__{n - 1}.body")
+        # a text without an @, or without a digit, has no candidate
+        some = F.contains(before, F.lit("@")) if kinds == ("email",) else before.rlike(PATTERNS[kinds[0]] if kinds == ("card_again",) else "[0-9]")
+        staged = staged.withColumn(f"__{n}", F.when(some, searched(before, kinds, n)).otherwise(F.struct(before.alias("body"), F.array().cast(found).alias("found"))))
+    steps = range(1, len(SEARCHES) + 1)
+    hits = F.concat(*(F.col(f"__{n}.found") for n in steps))
+    whole = reduce(lambda acc, n: put_back(acc, F.col(f"__{n}.found"), n), reversed(steps), F.col(f"__{len(SEARCHES)}.body"))
+    clear = F.when(F.contains(body, F.lit(MARK)), F.replace(whole, F.lit(MARK + ESCAPED), F.lit(MARK))).otherwise(whole)
+    kinds = F.transform(hits, lambda h: h["kind"])
     counted = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
-    out = staged.select(*(F.when(F.col("__hits").isNull(), F.col(text)).otherwise(joined).alias(text) if c == text else F.col(c) for c in docs.columns if c != "pii"), F.coalesce(counted, F.create_map().cast("map<string,int>")).alias("pii"))
-    return out
+    return staged.select(*(F.when(F.size(hits) > 0, clear).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns if c != "pii"), counted.alias("pii"))

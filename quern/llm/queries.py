@@ -56,8 +56,7 @@ def op3_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and its class of equal documents."""
     docs = documents(spark, sf_dir)
     prints = written(edited_digests(docs))
-    classes = exact_classes(docs, prints.select("doc_id", "fingerprint")).select(F.col("doc_id").alias("__d"), "class_id", "n_copies")
-    return prints.join(classes.distinct(), prints.doc_id.eqNullSafe(F.col("__d")), "left").drop("__d")
+    return exact_classes(docs, prints).drop("tie")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,8 @@ SEED, SECOND_SEED = 42, 43
 PAIRS = 2_000_000
 #: Residents of an anchor beyond which they are dealt to several tasks.
 RESIDENTS = 20_000
+#: Rows that a task gathers before it compares the anchors among them.
+HELD = 200_000
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -53,24 +55,31 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprint(text: str | None, words: int = 4, seeds: tuple[int, ...] = (SEED,)) -> int | tuple[int, ...]:
-    """The unsigned 64-bit SimHash of a whole text, or one for each of several seeds.
+def shingle_hashes(text: str | None, words: int, seeds: tuple[int, ...] = (SEED,)) -> list[np.ndarray]:
+    """For each seed the XXH64 values (rows of 8 bytes, highest first) of a text's shingles, repeats included.
 
-    A-Z become lower case; words are runs without space, tab, line feed, vertical tab, form feed and
-    carriage return; shingles of ``words`` words joined by a space count as often as they occur; a
-    text with fewer words is one shingle, one without words gives zero. A bit is 1 if it is set in
-    over half of the XXH64 values (seed 42).
+    A-Z become lower case; words are runs without space, tab, line feed, vertical tab, form feed and carriage
+    return; shingles are ``words`` words joined by a space; a text with fewer words is one shingle, one without has none.
     """
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0 if len(seeds) == 1 else (0,) * len(seeds)
+        return [np.empty((0, 8), np.uint8) for _ in seeds]
     flat = b" ".join(found)
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(sizes + 1) - 1
     first, last = (ends - sizes)[: max(1, len(found) - words + 1)].tolist(), ends[min(words, len(found)) - 1 :].tolist()
     shingles = [flat[a:b] for a, b in zip(first, last, strict=True)]
     digest = xxhash.xxh64_digest
-    got = tuple(_majority(np.frombuffer(b"".join([digest(x, seed) for x in shingles]), np.uint8).reshape(-1, 8)) for seed in seeds)
+    return [np.frombuffer(b"".join([digest(x, seed) for x in shingles]), np.uint8).reshape(-1, 8) for seed in seeds]
+
+
+def fingerprint(text: str | None, words: int = 4, seeds: tuple[int, ...] = (SEED,)) -> int | tuple[int, ...]:
+    """The unsigned 64-bit SimHash of a whole text, or one for each of several seeds.
+
+    Shingles count as often as they occur; a bit is 1 if it is set in over half of their XXH64 values (see
+    ``shingle_hashes``). A text without words gives zero.
+    """
+    got = tuple(_majority(hashes) for hashes in shingle_hashes(text, words, seeds))
     return got[0] if len(seeds) == 1 else got
 
 
@@ -238,12 +247,16 @@ def simhash_links(prints: DataFrame, threshold: int = 4, parts: tuple = HALVES,
             key = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy().astype(np.int64)
             held.append((key, b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)))
             size += b.num_rows
-            if size >= 200_000:
+            if size >= HELD:
                 rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last anchor may go on
                 if last:
                     yield from flush(tuple(x[:last] for x in rows))
-                held, size = [tuple(x[last:] for x in rows)], size - last
+                    rows = tuple(x[last:] for x in rows)
+                elif not rows[3].all():  # residents come first: these have met their first visitors, and wait for more
+                    yield from flush(rows)
+                    rows = tuple(x[rows[3]] for x in rows)
+                held, size = [rows], len(rows[0])
         if held:
             yield from flush(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -252,10 +265,13 @@ def simhash_links(prints: DataFrame, threshold: int = 4, parts: tuple = HALVES,
     crowded = written(homes.select("anchor", F.ceil(F.col("count") / RESIDENTS).cast("int").alias("shares")))
     if crowded.isEmpty():
         dealt = sent.select("anchor", F.lit(0).alias("share"), "fp", "fp2", "home")
-    else:  # visitors go to every share of a crowded anchor, and count as residents in their own only
-        share = F.pmod(F.hash("fp"), F.col("shares"))
-        dealt = sent.join(crowded, "anchor", "left").fillna(1, "shares").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("anchor", "share", "fp", "fp2", (F.col("home") & (F.col("share") == share)).alias("home"))
-    return dealt.repartition(n, "anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(compare, "u long, v long")
+    else:  # residents and visitors of a crowded anchor are dealt to shares; every share of the ones meets every share of the others
+        own, each = F.pmod(F.hash("fp"), F.col("shares")), F.sequence(F.lit(0), F.col("shares") - 1)
+        both_of = sent.join(crowded, "anchor", "left").fillna(1, "shares")
+        home = both_of.where("home").select("anchor", "fp", "fp2", (own * F.col("shares")).alias("row"), F.explode(each).alias("k")).select("anchor", (F.col("row") + F.col("k")).alias("share"), "fp", "fp2", F.lit(True).alias("home"))
+        away = both_of.select("anchor", "fp", "fp2", "shares", own.alias("own"), F.explode(each).alias("k")).select("anchor", (F.col("k") * F.col("shares") + F.col("own")).alias("share"), "fp", "fp2", F.lit(False).alias("home"))
+        dealt = home.unionByName(away)
+    return dealt.repartition(n, "anchor", "share").sortWithinPartitions("anchor", "share", F.desc("home")).mapInArrow(compare, "u long, v long")
 
 
 def simhash_classes(docs: DataFrame, words: int = 4, threshold: int = 4, text: str = "text", doc_id: str = "doc_id", parts: tuple = HALVES, both: int = 0) -> DataFrame:
@@ -265,13 +281,15 @@ def simhash_classes(docs: DataFrame, words: int = 4, threshold: int = 4, text: s
     in two fingerprints together), and component_id is the smallest doc_id reachable over links, the document
     itself included. Copies share one fingerprint and meet
     only in an aggregation. Blank texts share fingerprint zero. Null ids get a row and count for no
-    minimum; repeated rows are kept; other columns are not read.
+    minimum; repeated rows are kept; other columns are not read. An empty table gives no row; texts of any length
+    are read whole. Aggregates are written before they are joined, so that a very frequent fingerprint or a
+    very large component can be split among tasks.
     """
     prints = written(simhash_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words, second=both > 0))
-    smallest = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    smallest = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = simhash_links(prints, threshold, parts, both)
     roots = connected_components(links)
-    joined = smallest.join(roots, smallest.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    joined = written(smallest.join(roots, smallest.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    least = written(joined.groupBy("root").agg(F.min("least").alias("component_id")))
     classes = written(joined.join(least, "root").select("fp", "component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")

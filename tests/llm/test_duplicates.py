@@ -48,7 +48,7 @@ def test_digest_cases(spark, docs, clashing, empty):
 def test_exact_classes(spark):
     rows = [(k, t) for k, (_, t) in enumerate(TEXTS)]
     df = table(spark, rows)
-    prints = written(edited_digests(df).select("doc_id", "fingerprint"))
+    prints = written(edited_digests(df).select("doc_id", "fingerprint", "tie"))
     got = {r.doc_id: (r.class_id, r.n_copies) for r in exact_classes(df, prints).collect()}
     groups = collections.defaultdict(list)
     for i, t in rows:
@@ -61,15 +61,30 @@ def test_collision_is_told_apart(spark, monkeypatch):
     import quern.llm.digest as D
 
     df = table(spark, [(1, "a"), (2, "b"), (3, "a"), (4, "c c"), (5, "b")])
-    prints = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, "y"), (5, "x")], "doc_id long, fingerprint string")
     real = D.exact_digests
     from pyspark.sql import functions as F
 
+    print_of = F.when(F.col("doc_id") == 4, "y").otherwise("x")
+    prints = df.select("doc_id", print_of.alias("fingerprint"), D.tie_of(F.col("text")).alias("tie"))
     monkeypatch.setattr(D, "exact_digests", lambda *a, **k: real(*a, **k).withColumn("fingerprint", F.when(F.col("canonical") == "c c", "y").otherwise("x")))
     got = {r.doc_id: (r.class_id, r.n_copies) for r in D.exact_classes(df, prints).collect()}
     assert got == {1: (1, 2), 3: (1, 2), 2: (2, 2), 5: (2, 2), 4: (4, 1)}
 
 
+def test_repeated_and_null_ids(spark):
+    """One row for each row, whatever repeats; null ids count as copies and name no class."""
+    rows = [(1, "A b"), (1, "a  b"), (1, "other"), (2, "A B"), (None, "a b"), (None, "only"), (None, "only"), (3, None)]
+    df = table(spark, rows)
+    prints = written(edited_digests(df))
+    got = sorted((str(r.doc_id), r.fingerprint, str(r.class_id), r.n_copies) for r in exact_classes(df, prints).collect())
+    digest = lambda t: xxhash.xxh3_128_hexdigest(folded(t).encode())
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[folded(t)].append(i)
+    want = [(str(i), digest(t), str(min((x for x in groups[folded(t)] if x is not None), default=None)), len(groups[folded(t)])) for i, t in rows]
+    assert got == sorted(want)
+
+
 def brute_print(text, words):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     sh = [" ".join(w[i : i + words]) for i in range(len(w) - words + 1)] if len(w) >= words else [" ".join(w)] if w else []
@@ -126,6 +141,25 @@ def test_no_link_is_missed(spark, parts, threshold, monkeypatch):
     assert groups(label) == groups(want)
 
 
+def test_crowded_anchor_is_streamed(spark, monkeypatch):
+    """An anchor with far more rows than a task gathers meets its visitors in turn."""
+    monkeypatch.setattr(S, "RESIDENTS", 40)
+    monkeypatch.setattr(S, "HELD", 50)
+    rng = np.random.default_rng(3)
+    prints = [0]
+    for _ in range(400):  # all near the anchor zero
+        x = prints[int(rng.integers(len(prints)))]
+        for b in rng.choice(64, 3, replace=False):
+            x ^= 1 << int(b)
+        prints.append(x if x.bit_count() < 9 else 1 << int(rng.integers(64)))
+    signed = [p - 2**64 if p >> 63 else p for p in prints]
+    df = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
+    roots = {r.node: r.root for r in connected_components(S.simhash_links(df, 4)).collect()}
+    label, want = [roots.get(p, p) for p in signed], brute_components(prints, list(range(len(prints))), 4)
+    groups = lambda xs: {frozenset(i for i, y in enumerate(xs) if y == x) for x in xs}
+    assert groups(label) == groups(want)
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100), (200, 201), (201, 200), (5, 300)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
@@ -174,6 +208,22 @@ def test_proximity(spark):
     assert got == {1: ([], [9]), 2: ([9], [9])}
 
 
+def test_case_folds_ascii_only(spark):
+    """A capital sigma is the same word wherever it stands, and another one than a small sigma."""
+    items = [(1, "\u0391\u03a3.\u0392\u0393"), (2, "\u0391\u03a3 XY"), (3, "\u03b1\u03c3 xy")]
+    rows = [(1, items[0][1]), (2, "\u039f.\u0391\u03a3'xy"), (3, "\u03b1\u03c3 XY"), (4, "\u03b1\u03c2 xy")]
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, sorted(map(str, r["items"]))) for r in contamination(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == brute_hits(rows, items) and [x[2] for x in got] == [2, 2, 2, 0]
+
+
+def test_very_many_hits(spark):
+    """A hundred thousand hits in one text, some over the edges of blocks."""
+    rows = [(1, "common " * 100_000 + "the end"), (2, "a b c d e f g h i j k l " * 200)]
+    items = [(1, "common"), (2, "j k l a b c d e f g h i"), (3, "the")]
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, sorted(map(str, r["items"]))) for r in contamination(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == [("1", 100_002, 100_001, ["1", "3"]), ("2", 2400, 2388, ["2"])]
+
+
 def brute_lines(rows):
     cut = re.compile(r"(?<=[.!?][ \t])(?=\S)|(?<=\n)(?=\S)")
 
