@@ -115,12 +115,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                 sink = [fs.open_output_stream(f"{root}/.{attempt}.{k}") for k in ("arrows", "docs")]
                 out = SequenceWriter(sink[0], length, c.dtype, end_id)
                 index = pa.ipc.new_stream(sink[1], _index_schema(b))
-            ids = [np.append(x, np.asarray(end_id, c.dtype)) for x in c.encode_many(texts_of(b))]
-            sizes = np.array([len(x) for x in ids], np.int64)
+            ids, counts = c.encode_flat(texts_of(b))
+            ends = np.cumsum(counts)
+            sizes = counts + 1
             index.write_batch(pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(out.n_tokens + np.cumsum(sizes) - sizes), pa.array(sizes)], schema=_index_schema(b)))
-            for x in ids:
-                out.add(x)
-            rows += len(ids)
+            out.add(np.insert(ids, ends, end_id))
+            rows += len(counts)
         if sink is None:
             return
         out.close()

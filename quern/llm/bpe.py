@@ -4,8 +4,8 @@ A merge can only join two neighbouring symbols if their pair occurs inside some
 vocabulary. Every neighbouring pair that occurs in none is therefore a certain cut: the fragments
 between cuts are encoded independently and concatenated, with the same ids as the whole word.
 
-Words repeat much, so a bounded cache keeps their ids. The new words of a step are cut at their
-forced boundaries and all their fragments go through the merge loop side by side, as the rows of an
+Words repeat much, so a bounded cache keeps their ids, and the words of a step are looked up together. Those that are new
+are cut at their forced boundaries and all their fragments go through the merge loop side by side, as the rows of an
 array: each round joins the lowest-ranked pair of every fragment.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,21 +45,14 @@ def byte_alphabet() -> list[str]:
     return [moved.get(b, chr(b)) for b in range(256)]
 
 
-#: Chunks whose words _split_plain finds: no control characters, no white space, no apostrophe.
-PLAIN = regex.compile(r"[!-&(-~\xa1-\u012f\u0131-\u0239]+")
+#: By code point below STABLE: whether _split_plain finds the words around it, so no control character, white space or apostrophe.
+PLAIN = np.array([bool(regex.fullmatch(r"[!-&(-~\xa1-\u012f\u0131-\u0239]", chr(c))) for c in range(STABLE)])
 #: By code point: 0 space, 1 letter, 2 number, 3 other. Lower case of plain characters stays in this range.
 KINDS = np.array([0 if c == " " else 1 if c.isalpha() else 2 if regex.match(r"\p{N}", c) else 3 for c in map(chr, range(0x300))], np.uint8)
 
 
-class Words(dict):
-    """A cache that notes what it lacks."""
-
-    def __init__(self, *start: dict):
-        super().__init__(*start)
-        self.absent: set[str] = set()
-
-    def __missing__(self, key: str) -> None:
-        self.absent.add(key)
+#: By number of bytes from 0 to 8: the bits that they take up in a little-endian number.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class ForcedBoundaryCodec:
@@ -123,7 +117,29 @@ class ForcedBoundaryCodec:
         self._seed()
 
     def _seed(self) -> None:
-        self._words = Words({"": b""} | {t: np.asarray([i], self.dtype).tobytes() for t, i in self.added.items()})
+        """An empty cache: the ids of known chunks in one array, where each begins and how many it has, and the chunks' numbers."""
+        self._ids, self._n_ids = np.empty(1 << 16, self.dtype), 0
+        self._begin, self._count, self._n_known = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), 0
+        self._short: dict[int, int] = {}
+        self._long: dict[bytes, int] = {}
+        for t, i in self.added.items():
+            raw, number = t.encode("utf-8"), self._keep(np.asarray([i], self.dtype), np.array([1]))
+            self._long[raw] = number
+            if len(raw) <= 8:
+                self._short[int.from_bytes(raw, "little")] = number
+
+    def _keep(self, ids: np.ndarray, counts: np.ndarray) -> int:
+        """Put the ids of new chunks into the cache; the number of the first one."""
+        for name, used, more in (("_ids", self._n_ids, len(ids)), ("_begin", self._n_known, len(counts)), ("_count", self._n_known, len(counts))):
+            held = getattr(self, name)
+            if used + more > len(held):
+                setattr(self, name, np.concatenate([held, np.empty(max(len(held), more), held.dtype)]))
+        first = self._n_known
+        self._ids[self._n_ids : self._n_ids + len(ids)] = ids
+        self._count[first : first + len(counts)] = counts
+        self._begin[first : first + len(counts)] = self._n_ids + np.cumsum(counts) - counts
+        self._n_ids, self._n_known = self._n_ids + len(ids), first + len(counts)
+        return first
 
     def _slots(self) -> None:
         """A hash table from pairs of ids to merges: two tries for each pair, a search for the few others."""
@@ -255,14 +271,24 @@ class ForcedBoundaryCodec:
             return [bytes(back[c] for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
         return [w.encode("utf-8") for w in ([chunk] if chunk.isalpha() else self._pattern.findall(chunk))]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Put the ids of new chunks into the cache."""
-        plain = [c for c in chunks if PLAIN.fullmatch(c)]
-        if plain:
-            self._store(plain, *self._split_plain(plain))
-        if len(plain) == len(chunks):
-            return
-        chunks = [c for c in chunks if not PLAIN.fullmatch(c)]
+    def _learn(self, raw: list[bytes]) -> np.ndarray:
+        """Put new chunks into the cache; their numbers."""
+        chunks = [x.decode("utf-8") for x in raw]
+        points = np.frombuffer((" ".join(chunks) + " ").encode("utf-32-le"), np.uint32)
+        other = ~PLAIN[np.minimum(points, STABLE - 1)] | (points >= STABLE)
+        ends = np.flatnonzero(points == 32)  # chunks hold no space
+        odd = np.diff(np.append(0, np.cumsum(other)[ends])) > 1
+        numbers = np.empty(len(chunks), np.int64)
+        for pick, split in ((~odd, self._split_plain), (odd, self._split_other)):
+            if pick.any():
+                flat, sizes, upto = split(list(compress(chunks, pick)))
+                ids, counts = self._encode_words(flat, sizes)
+                each = np.diff(np.append(0, np.append(0, np.cumsum(counts))[upto]))
+                numbers[pick] = self._keep(ids, each) + np.arange(len(each))
+        return numbers
+
+    def _split_other(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, word sizes and words so far by chunk, for any chunks without spaces."""
         normal = self.library.normalizer.normalize_str(" ".join(chunks)).split(" ")
         if len(normal) != len(chunks):  # other white space inside chunks
             normal = [self.library.normalizer.normalize_str(c) for c in chunks]
@@ -273,8 +299,7 @@ class ForcedBoundaryCodec:
                 if part:
                     words += self._pieces(part)
             upto.append(len(words))
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        self._store(chunks, np.frombuffer(b"".join(words), np.uint8), sizes, np.array(upto, np.int64))
+        return np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)), np.array(upto, np.int64)
 
     def _split_plain(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes, word sizes and words so far by chunk, for chunks of stable characters without apostrophes.
@@ -294,24 +319,49 @@ class ForcedBoundaryCodec:
         sizes = np.diff(np.append(before[word_at], len(flat)))
         return flat, sizes, np.searchsorted(word_at, np.flatnonzero(space))
 
-    def _store(self, chunks: list[str], flat: np.ndarray, sizes: np.ndarray, upto: np.ndarray) -> None:
-        ids, counts = self._encode_words(flat, sizes)
-        raw, width = ids.tobytes(), self.dtype.itemsize
-        ends = (np.append(0, np.cumsum(counts))[upto] * width).tolist()
-        self._words.update((c, raw[x:y]) for c, x, y in zip(chunks, [0, *ends[:-1]], ends, strict=True))
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the whole texts, one after the other, and the number of ids of each.
+
+        Chunks between spaces and line feeds are looked up in the cache: those of up to 8 bytes as the numbers that their
+        bytes are, each different one once; longer ones as bytes.
+        """
+        raw = [(self._added.sub(r" \g<0> ", t) if any(x in t for x in self.added) else t).encode("utf-8") for t in texts]
+        if self._n_known > CACHE_WORDS:
+            self._seed()
+        data = b" ".join([*raw, b""]).replace(b"\n", b" ")
+        buf = np.frombuffer(data, np.uint8)
+        space = np.flatnonzero(buf == 32)
+        begin = np.append(0, space[:-1] + 1)[: len(space)]
+        filled = space > begin
+        begin, end = begin[filled], space[filled]
+        size = end - begin
+        number = np.empty(len(begin), np.int64)
+        short = (size <= 8) & ((buf != 0).all() if len(buf) else True)  # zero bytes would look like the end of a chunk
+        if short.any():
+            eights = np.ndarray(len(data), "<u8", data + bytes(8), strides=(1,))
+            at, upto = begin[short], end[short]
+            key, first, again = np.unique(eights[at] & MASKS[size[short]], return_index=True, return_inverse=True)
+            found = np.fromiter(map(self._short.get, key.tolist(), repeat(-1)), np.int64, len(key))
+            new = np.flatnonzero(found < 0)
+            if len(new):
+                found[new] = self._learn([data[x:y] for x, y in zip(at[first[new]].tolist(), upto[first[new]].tolist(), strict=True)])
+                self._short.update(zip(key[new].tolist(), found[new].tolist(), strict=True))
+            number[short] = found[again]
+        if not short.all():
+            chunks = [data[x:y] for x, y in zip(begin[~short].tolist(), end[~short].tolist(), strict=True)]
+            if absent := [x for x in set(chunks) if x not in self._long]:
+                self._long.update(zip(absent, self._learn(absent).tolist(), strict=True))
+            number[~short] = np.fromiter(map(self._long.__getitem__, chunks), np.int64, len(chunks))
+        counts = self._count[number]
+        before = np.append(0, np.cumsum(counts))
+        ids = self._ids[np.repeat(self._begin[number] - before[:-1], counts) + np.arange(before[-1])]
+        text_end = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+        return ids, np.diff(np.append(0, before[np.searchsorted(begin, text_end)]))
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of the whole texts."""
-        chunks = [(self._added.sub(r" \g<0> ", t) if any(x in t for x in self.added) else t).replace("\n", " ").split(" ") for t in texts]
-        if len(self._words) > CACHE_WORDS:
-            self._seed()
-        words = self._words
-        got = [list(map(words.__getitem__, part)) for part in chunks]
-        if words.absent:
-            self._learn([*words.absent])
-            words.absent.clear()
-            got = [[words[c] if v is None else v for c, v in zip(part, g, strict=True)] for part, g in zip(chunks, got, strict=True)]
-        return [np.frombuffer(b"".join(g), self.dtype) for g in got]
+        ids, counts = self.encode_flat(texts)
+        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of the whole text."""
@@ -330,10 +380,9 @@ def codec(path: str) -> ForcedBoundaryCodec:
     return ForcedBoundaryCodec(path)
 
 
-def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    """Arrow lists from numpy arrays without a Python object for each value."""
-    ends = np.cumsum([0, *(len(p) for p in parts)], dtype=np.int64)
-    flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
+def list_array(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """Arrow lists of the given lengths from one numpy array, without a Python object for each value."""
+    ends = np.append(0, np.cumsum(counts))
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(kind.to_pandas_dtype()), kind))
 
 
@@ -350,7 +399,8 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
         for b in steps(batches, "__text"):
-            ids = c.encode_many(texts_of(b, "__text"))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], list_array(ids, pa.int32()), pa.array([c.decode(x) for x in ids], pa.string())], names=schema.names)
+            ids, counts = c.encode_flat(texts_of(b, "__text"))
+            texts = [c.decode(x) for x in np.split(ids, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], list_array(ids, counts, pa.int32()), pa.array(texts, pa.string())], names=schema.names)
 
     return picked.mapInArrow(run, schema)
