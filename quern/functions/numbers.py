@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Start and factor of the hash of three doubles (fixed values).
+FNV_START, FNV_FACTOR = 1469598103934665603, 1099511628211
+
+
 def pack_xz(x: Column, z: Column) -> Column:
     """Two 32-bit coordinates in one long: z above, x below."""
     return F.shiftleft(z.cast("long"), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -47,8 +51,9 @@ def redmean(a: Column, b: Column) -> Column:
 
 
 def blend(a: Column, b: Column, share: Column) -> Column:
-    """The (r, g, b) colour at ``share`` of the way from a to b, each part rounded down."""
-    return F.struct(*(F.floor(a[k] + (b[k] - a[k]) * share).cast("int").alias(k) for k in "rgb"))
+    """The (r, g, b) colour at ``share`` of the way from a to b in 32-bit floats, each part rounded, halves upwards."""
+    part = lambda k: (a[k].cast("float") + share.cast("float") * (b[k] - a[k]).cast("float")).cast("float")
+    return F.struct(*(F.floor(part(k) + F.lit(0.5).cast("float")).cast("int").alias(k) for k in "rgb"))
 
 
 def clamp(value: Column, low, high) -> Column:
@@ -101,7 +106,92 @@ def spread_hash(keys: pd.Series) -> pd.Series:
 @F.pandas_udf(T.LongType())
 def fnv_of_doubles(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
     """FNV-style hash over the bits of three doubles, in wrapping 64-bit arithmetic."""
-    h = np.full(len(a), 0xCBF29CE484222325, np.uint64)
+    h = np.full(len(a), FNV_START, np.uint64)
     for s in (a, b, c):
-        h = (h ^ s.to_numpy(np.float64).view(np.uint64)) * np.uint64(0x100000001B3)
+        h = (h ^ s.to_numpy(np.float64).view(np.uint64)) * np.uint64(FNV_FACTOR)
     return pd.Series(h.view(np.int64))
+
+
+#: Gradients of the noise, in the order of its table (fixed values).
+GRADIENTS = ((1, 1, 0), (-1, 1, 0), (1, -1, 0), (-1, -1, 0), (1, 0, 1), (-1, 0, 1), (1, 0, -1), (-1, 0, -1), (0, 1, 1), (0, -1, 1), (0, 1, -1), (0, -1, -1), (1, 1, 0), (0, -1, 1), (-1, 1, 0), (0, -1, -1))
+
+
+def permutation(seed: int) -> list[int]:
+    """The numbers 0 to 255 in an order that depends on a seed."""
+    return np.random.default_rng(seed).permutation(256).tolist()
+
+
+def gradient_noise(x: Column, y: Column, z: Column, table: list[int]) -> Column:
+    """Gradient noise of a point: the eight corners of its unit cell, each with a gradient by the table, joined by the quintic fade."""
+    lookup = F.array(*map(F.lit, table))
+    slopes = F.array(*(F.array(*(F.lit(float(v)) for v in g)) for g in GRADIENTS))
+    cell = [F.floor(c).cast("int") for c in (x, y, z)]
+    rest = [c - F.floor(c) for c in (x, y, z)]
+    at = lambda i: F.get(lookup, F.pmod(i, F.lit(256)))
+
+    def corner(dx: int, dy: int, dz: int) -> Column:
+        place = at(at(at(cell[0] + dx) + cell[1] + dy) + cell[2] + dz) % 16
+        g = F.get(slopes, place)
+        return sum((F.get(g, F.lit(k)) * (rest[k] - d) for k, d in enumerate((dx, dy, dz))), F.lit(0.0))
+
+    fx, fy, fz = (fade(c) for c in rest)
+    mix = lambda t, a, b: a + t * (b - a)
+    rows = [[mix(fx, corner(0, dy, dz), corner(1, dy, dz)) for dy in (0, 1)] for dz in (0, 1)]
+    return mix(fz, *(mix(fy, *r) for r in rows))
+
+
+#: Numbers that spread the seeds of the generator below (fixed values).
+SILVER, GOLDEN = 0x6A09E667F3BCC909, 0x9E3779B97F4A7C15
+SPREAD = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _spread(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(SPREAD[0])
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(SPREAD[1])
+    return z ^ (z >> np.uint64(31))
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def random_longs(seed: Column, n: int) -> Column:
+    """The first n longs of the public generator xoroshiro128++ for each seed, as an array."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def draw(seeds: pd.Series) -> pd.Series:
+        start = seeds.to_numpy(np.int64).view(np.uint64) ^ np.uint64(SILVER)
+        a, b = _spread(start), _spread(start + np.uint64(GOLDEN))
+        out = np.empty((n, len(start)), np.uint64)
+        for k in range(n):
+            out[k] = _rotated(a + b, 17) + a
+            b = b ^ a
+            a, b = _rotated(a, 49) ^ b ^ (b << np.uint64(21)), _rotated(b, 28)
+        return pd.Series(list(out.T.copy().view(np.int64)))
+
+    return draw(seed)
+
+
+@F.pandas_udf(T.LongType())
+def position_seed(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+    """The seed of a position: its coordinates mixed in arithmetic that wraps, x first in 32 bits."""
+    a = (x.to_numpy(np.int64) * 3129871).astype(np.int32).astype(np.int64)
+    v = a ^ (z.to_numpy(np.int64) * 116129781) ^ y.to_numpy(np.int64)
+    u = v.view(np.uint64)
+    mixed = u * u * np.uint64(42317861) + u * np.uint64(11)
+    return pd.Series(mixed.view(np.int64) >> 16)
+
+
+def shown(value: Column, decimals: int) -> Column:
+    """A number with commas between thousands and so many decimals, halves to the even digit."""
+    return F.format_number(value, decimals)
+
+
+def corners(a: Column, b: Column) -> Column:
+    """The lower and the upper one of two coordinates."""
+    return F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
+
+
+def fixed_list(values: Column, size: int) -> Column:
+    """A list if it has so many elements, else null: the box codec takes six."""
+    return F.when(F.size(values) == size, values)

@@ -63,7 +63,7 @@ def segments(template: Column) -> Column:
 
 def wrap_words(s: Column, width: int) -> Column:
     """Lines of at most ``width`` characters, as many words in each as fit; a longer word has a line of its own."""
-    words = F.filter(F.split(s, " "), lambda w: w != "")
+    words = F.filter(F.split(s, r"\s+"), lambda w: w != "")
     start = F.array().cast("array<string>")
 
     def step(lines: Column, word: Column) -> Column:

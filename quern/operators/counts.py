@@ -76,3 +76,26 @@ def merge_regions(state: DataFrame, moves: DataFrame, region: str, deadline: str
 def split_regions(state: DataFrame, sections: DataFrame, key: str, region: str) -> DataFrame:
     """States dealt to the regions that their sections belong to now; states of sections without a region go."""
     return state.drop(region).join(sections.select(key, region), key)
+
+
+def duration_summary(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Least, greatest, mean, median and the given percentiles of a duration for each key, interpolated between neighbours."""
+    exact = [F.percentile(value, p).alias(n) for n, p in {"median": 0.5, **shares}.items()]
+    return df.groupBy(*keys).agg(F.min(value).alias("least"), F.max(value).alias("greatest"), F.avg(value).alias("mean"), *exact)
+
+
+def neighbour_levels(cells: DataFrame, key: str, x: str, z: str, level: str, source: str, drop: int) -> DataFrame:
+    """For each cell the level that flows in: two or more sources beside it leave it as it is (null), else the highest level of
+    its four neighbours less ``drop``, 0 at least. Cells meet their neighbours by equality of shifted places."""
+    beside = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))))
+    sent = cells.withColumn("o", F.explode(beside)).select((F.col(x) + F.col("o.i")).alias(x), (F.col(z) + F.col("o.j")).alias(z), F.col(level).alias("__l"), F.col(source).alias("__s"))
+    seen = sent.groupBy(x, z).agg(F.max("__l").alias("top"), F.count_if("__s").alias("sources"))
+    both = cells.join(seen, [x, z], "left")
+    flows = F.greatest(F.coalesce("top", F.lit(0)) - drop, F.lit(0))
+    return both.select(key, F.coalesce("sources", F.lit(0)).alias("sources"), F.when(F.coalesce("sources", F.lit(0)) < 2, flows).alias("flows"))
+
+
+def weighted_kinds(df: DataFrame, key: str, kind: str, value: Column, weights: dict[str, float]) -> DataFrame:
+    """The sum of contributions of each key, each with the weight of its kind; unknown kinds count for nothing."""
+    weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for kv in weights.items() for v in kv)), F.col(kind)), F.lit(0.0))
+    return df.groupBy(key).agg(F.sum(value * weight).alias("total"))

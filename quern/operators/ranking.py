@@ -24,15 +24,34 @@ def arg_least(df: DataFrame, keys: list[str], by: list[str], keep: list[str]) ->
     return grouped.select(*keys, *(F.col(f"best.{c}").alias(c) for c in dict.fromkeys([*by, *keep]) if c not in keys))
 
 
-def nearest_of(df: DataFrame, candidates: list[tuple], distance, name: str = "nearest") -> DataFrame:
-    """The index of the nearest of a fixed list of candidates; the lowest index wins ties. ``distance`` maps a candidate to a column."""
-    each = F.array(*(F.struct(distance(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(candidates)))
-    return df.withColumn(name, F.array_min(each)["i"])
+def nearest_of(df: DataFrame, candidates: list[tuple], distance, name: str = "nearest", start: int = 0, unless: Column | None = None) -> DataFrame:
+    """The index of the nearest of a fixed list of candidates from ``start`` on; the lowest index wins ties, and where ``unless`` holds it is 0.
+
+    ``distance`` maps a candidate to a column.
+    """
+    each = F.array(*(F.struct(distance(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(candidates) if i >= start))
+    best = F.array_min(each)["i"]
+    return df.withColumn(name, best if unless is None else F.when(unless, 0).otherwise(best))
+
+
+def shuffle_key(key: Column, seed: int) -> Column:
+    """A number from 0 to 2**32 - 1 that looks random but depends on a whole-number key and a seed alone."""
+    return F.pmod(F.pmod(key.cast("long"), F.lit(1 << 31)) * 2654435761 + seed * 40503, F.lit(1 << 32))
 
 
 def shuffled_by_priority(df: DataFrame, priority: str, key: str, seed: int) -> DataFrame:
     """Highest priority first; within one, an order that looks random but depends on key and seed alone."""
-    return df.orderBy(F.desc(priority), F.xxhash64(key, F.lit(seed)), key)
+    return df.orderBy(F.desc(priority), shuffle_key(F.col(key), seed), key)
+
+
+def shuffled_first(df: DataFrame, keys: list[str], test: Column, key: str, seed: int) -> DataFrame:
+    """For each of ``keys`` the first row in shuffled order that passes the test."""
+    return top_k_per_key(df.where(test), keys, [shuffle_key(F.col(key), seed)], [key], 1).drop("place")
+
+
+def global_least(df: DataFrame, queue: str, by: list[str], keep: list[str]) -> DataFrame:
+    """The least row over all queues; of queues that tie in ``by`` the first one has it."""
+    return arg_least(df, [], [*by, queue], keep)
 
 
 def ordered_by_list(df: DataFrame, column: str, names: list[str]) -> DataFrame:

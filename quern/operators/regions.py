@@ -55,15 +55,24 @@ def merged_by(df: DataFrame, key: str, create: Callable[[], dict], add: Callable
     return df.mapInPandas(partial, schema).groupBy(key).applyInPandas(lambda f: pd.DataFrame([{key: k} | s for k, s in fold([f]).items()]), schema)
 
 
-def nearest_corner(x: Column, y: Column, z: Column, size: int, jitter: Callable[[Column], Column]) -> Column:
-    """The nearest of the eight corners of a point's grid cell, each moved by a jitter that depends on it alone: (distance, corner), the lowest corner at ties."""
+def nearest_corner(x: Column, y: Column, z: Column, size: int, jitter: Callable[[Column], Column], mixed: Callable[..., Column] | None = None) -> Column:
+    """The nearest of the eight corners of a point's grid cell, each moved by a jitter that depends on it alone: (distance, corner), the lowest corner at ties.
+
+    ``mixed`` makes a number that is not negative of a corner's three cell numbers; a hash, if it is not given.
+    """
+    mixed = mixed or (lambda *cells: F.abs(F.xxhash64(*cells)))
     cells = [F.floor(c / size).cast("long") for c in (x, y, z)]
 
     def corner(n: int) -> Column:
         steps = [cells[k] + (n >> (2 - k) & 1) for k in range(3)]
-        seed = F.abs(F.xxhash64(*steps))
+        seed = mixed(*steps)
         moved = [s * size + size * jitter(F.shiftright(seed, 8 * k)) for k, s in enumerate(steps)]
         d2 = sum(((a - b) * (a - b) for a, b in zip((x, y, z), moved, strict=True)), F.lit(0.0))
         return F.struct(d2.alias("d2"), F.lit(n).alias("corner"))
 
     return F.array_min(F.array(*(corner(n) for n in range(8))))
+
+
+def apply_per_region(df: DataFrame, region: str, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """A function of the user's own over all rows of each region at once, in one task: a region has to fit into memory."""
+    return df.groupBy(region).applyInPandas(function, schema)

@@ -51,8 +51,8 @@ def utilisation(df: DataFrame, handle: str, busy_ns: str, window_ns: int) -> Dat
 
 
 def integer_ewma(values: Column, start: int = 0) -> Column:
-    """(3 x old + new) / 4 in whole numbers over an array in order of time."""
-    return F.aggregate(values, F.lit(start).cast("long"), lambda old, x: F.floor((old * 3 + x) / 4).cast("long"))
+    """(3 x old + new) / 4 in whole numbers, rounded towards zero, over an array in order of time."""
+    return F.aggregate(values, F.lit(start).cast("long"), lambda old, x: F.call_function("div", old * 3 + x, F.lit(4).cast("long")))
 
 
 def rate_limited(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
@@ -75,3 +75,55 @@ def live_until(df: DataFrame, keys: list[str], ts: str, value: str, ttl_seconds:
     last = df.groupBy(*keys).agg(F.max(F.struct(F.col(ts).alias("at"), F.col(value).alias("v"))).alias("s"))
     alive = F.col("s.v").isNotNull() & (micros(now) - micros(F.col("s.at")) < ttl_seconds * 1_000_000)
     return last.where(alive).select(*keys, F.col("s.v").alias(value))
+
+
+def frame_of(name: str) -> int:
+    """Seconds of a frame by its name; the one called "10 s" is that of 15 s."""
+    return FRAMES[ALIASES.get(name, name)]
+
+
+def keepalive_timeouts(df: DataFrame, key: str, ts: str, tie: str, limit_ms: int) -> DataFrame:
+    """(key, at): when each key that stays silent for too long is dropped. One message a second waits for an answer, and any answer
+    clears all that wait; the first gap between answers in which as many seconds pass as the limit has ends the key."""
+    us = micros(F.col(ts))
+    gap = F.lead(us).over(W.partitionBy(key).orderBy(us, tie)) - us
+    late = df.withColumn("__us", us).withColumn("__gap", gap).where(F.col("__gap") >= limit_ms * 1000)
+    return late.groupBy(key).agg(F.min(F.col("__us") + limit_ms * 1000).alias("at"))
+
+
+def awake(df: DataFrame, key: str, order: list[str], state: str, wake_at: Column, tick: Column) -> DataFrame:
+    """The ticks at which something happens: its state is another one than the tick before, or the time to wake has come."""
+    same = F.coalesce(F.col(state).eqNullSafe(F.lag(state).over(W.partitionBy(key).orderBy(*order))), F.lit(False))
+    first = F.row_number().over(W.partitionBy(key).orderBy(*order)) == 1
+    return df.withColumn("__idle", same & ~first & (tick < wake_at)).where(~F.col("__idle")).drop("__idle")
+
+
+def countdown_hits(steps: Column, speed: int, reset: Column) -> Column:
+    """How often a countdown over an array of steps runs out: each step takes ``speed`` off, and at 0 or below it fires and starts
+    again from the step's draw in the array ``reset``. It starts from the first draw."""
+    start = F.struct(F.get(reset, F.lit(0)).cast("long").alias("left"), F.lit(0).alias("hits"))
+
+    def step(acc: Column, i: Column) -> Column:
+        left = acc["left"] - speed
+        fires = left <= 0
+        return F.struct(F.when(fires, F.get(reset, i)).otherwise(left).cast("long").alias("left"), (acc["hits"] + fires.cast("int")).alias("hits"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(steps) - 1), start, step, lambda acc: acc["hits"])
+
+
+def controlled(df: DataFrame, commands: DataFrame, key: str, ts: str) -> DataFrame:
+    """Rows of a feed that is not paused: the last command of the key at or before a row is none, ``run`` or ``sprint``.
+
+    ``commands`` has the key, the time and ``command``; of a row and a command at one moment the command comes first.
+    """
+    rows = df.withColumn("__c", F.lit(None).cast("string")).withColumn("__o", F.lit(1))
+    told = commands.select(key, ts, F.col("command").alias("__c")).withColumn("__o", F.lit(0))
+    w = W.partitionBy(key).orderBy(ts, "__o").rowsBetween(W.unboundedPreceding, 0)
+    state = rows.unionByName(told, allowMissingColumns=True).withColumn("__state", F.last("__c", ignorenulls=True).over(w))
+    return state.where((F.col("__o") == 1) & F.coalesce(F.col("__state").isin("run", "sprint"), F.lit(True))).drop("__c", "__o", "__state")
+
+
+def autosaves(df: DataFrame, ts: str, seconds: int) -> DataFrame:
+    """(period, at): the first moment of each period in which a save is due."""
+    period = F.floor(micros(F.col(ts)) / (seconds * 1_000_000))
+    return df.groupBy(period.alias("period")).agg(F.min(ts).alias("at"))

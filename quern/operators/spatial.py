@@ -117,3 +117,65 @@ def tile_bits(cells: DataFrame, edge_bits: int = 3, x: str = "x", z: str = "z")
 def inside_border(x: Column, z: Column, centre: tuple[float, float], half: float) -> Column:
     """Whether a point lies inside a square border: lower edges included, upper ones not."""
     return (x >= centre[0] - half) & (x < centre[0] + half) & (z >= centre[1] - half) & (z < centre[1] + half)
+
+
+def pairs_within(left: DataFrame, right: DataFrame, axes: list[str], reach: float, strict: bool = True) -> DataFrame:
+    """All pairs of a row of ``left`` and one of ``right`` nearer than ``reach``, with the squared distance ``d2``. Both have the
+    columns ``axes``, which come out as those of ``left``; their other columns must have different names.
+
+    Both sides are dealt to cells as large as the reach and joined on the cell, so work grows with the pairs that are near.
+    """
+    a = left
+    for x in axes:
+        a = a.withColumn(f"__c{x}", _cell(F.col(x), reach))
+    b = _around(right.withColumnsRenamed({x: f"__r{x}" for x in axes}), [f"__r{x}" for x in axes], reach, reach, "__d")
+    same = reduce(lambda x, y: x & y, [F.col(f"__c{x}") == F.col(f"__d__r{x}") for x in axes])
+    d2 = reduce(lambda x, y: x + y, [(F.col(x) - F.col(f"__r{x}")) * (F.col(x) - F.col(f"__r{x}")) for x in axes])
+    near = d2 < reach * reach if strict else d2 <= reach * reach
+    joined = a.join(b, same & near).withColumn("d2", d2)
+    return joined.drop(*(f"{p}{x}" for x in axes for p in ("__c", "__r", "__d__r")))
+
+
+def some_within(centres: DataFrame, others: DataFrame, axes: list[str], reach: float, key: str, tie: str, n: int) -> DataFrame:
+    """Up to ``n`` of the others within reach of each centre, the nearest first, then by ``tie``; ``place`` counts from 1."""
+    from .ranking import top_k_per_key
+
+    return top_k_per_key(pairs_within(centres, others, axes, reach, strict=False), [key], [F.col("d2")], [tie], n)
+
+
+def by_reach_class(centres: DataFrame, others: DataFrame, axes: list[str], reaches: dict[str, float], key: str) -> DataFrame:
+    """(key, class, n): how many others lie within each class of reach of a centre; classes without any have no row.
+
+    The pairs of the largest reach are made once, and every class counts those that are near enough.
+    """
+    pairs = pairs_within(centres.select(key, *axes), others.select(*axes), axes, max(reaches.values()))
+    inside = F.array_compact(F.array(*(F.when(F.col("d2") < r * r, F.lit(name)) for name, r in reaches.items())))
+    return pairs.select(key, F.explode(inside).alias("class")).groupBy(key, "class").agg(F.count("*").alias("n"))
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
+    """Pairs of a point and an interval that holds it, ends included. Intervals are dealt to bins of ``width`` and joined on the
+    bin: an interval much longer than a bin takes part in many."""
+    bins = intervals.withColumn("__bin", F.explode(F.sequence(_cell(F.col(low), width), _cell(F.col(high), width))))
+    placed = points.withColumn("__at", _cell(F.col(at), width))
+    return placed.join(bins, (F.col("__at") == F.col("__bin")) & F.col(at).between(F.col(low), F.col(high))).drop("__at", "__bin")
+
+
+def inside_or_first(rows: DataFrame, group: str, order: str, inside: Column) -> DataFrame:
+    """The rows of each group that lie inside; of a group without any, its first row by ``order`` and then by all columns."""
+    told = rows.withColumn("__inside", F.coalesce(inside, F.lit(False)))
+    first = F.min(F.struct(order, *(c for c in rows.columns if c not in (order, group)))).alias("f")
+    alone = told.groupBy(group).agg(F.bool_or("__inside").alias("any"), first).where(~F.col("any"))
+    return told.where("__inside").drop("__inside").unionByName(alone.select(group, *(F.col(f"f.{c}").alias(c) for c in rows.columns if c != group)))
+
+
+def nearest_cell(centres: DataFrame, levels: DataFrame, radius: int, key: str, axes: str = "xyz") -> DataFrame:
+    """For each centre (key, axes, level) the cell of the cube around it with the least level, if that is less than the centre's
+    own, else the centre: the first by axes in order x, z, y. ``levels`` has axes and level; cells that it lacks do not count."""
+    order = [a for a in "xzy" if a in axes]
+    around = centres
+    for a in axes:
+        around = around.withColumn(f"n{a}", F.explode(F.sequence(F.col(a) - radius, F.col(a) + radius)))
+    there = levels.select(*(F.col(a).alias(f"n{a}") for a in axes), F.col("level").alias("l"))
+    best = around.join(there, [f"n{a}" for a in axes]).where("l < level").groupBy(key).agg(F.min(F.struct("l", *(f"n{a}" for a in order))).alias("b"))
+    return centres.join(best, key, "left").select(key, *(F.coalesce(f"b.n{a}", a).alias(a) for a in axes), F.coalesce("b.l", "level").alias("level"))

@@ -23,22 +23,8 @@ from ..operators import series as T
 from ..operators import sets as H
 from ..operators import spatial as P
 from ..operators import trees as D
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function (table reader, spark) under its name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
+from . import scans, selections, summaries, values  # noqa: F401  (they register their queries)
+from .registry import ORACLES, QUERIES, query
 
 col, lit = F.col, F.lit
 
@@ -117,11 +103,11 @@ def memory_percent(t, spark):
     return t("part").select("p_partkey", C.percent_used(col("p_retailprice"), (col("p_size") % 9) * 1000).alias("percent"))
 
 
-@query("""SELECT CASE WHEN s_nationkey < 5 THEN 100 + s_nationkey % 2 ELSE s_nationkey END AS region, min(s_suppkey + CASE WHEN s_nationkey < 5 THEN 7 ELSE 0 END) AS deadline, sum(s_suppkey)::BIGINT AS amount FROM supplier GROUP BY 1""")
+@query("""SELECT CASE WHEN n_regionkey = 1 THEN 100 + s_nationkey % 2 ELSE s_nationkey END AS region, min(s_suppkey + CASE WHEN n_regionkey = 1 THEN 7 ELSE 0 END) AS deadline, sum(s_suppkey)::BIGINT AS amount FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1""")
 def region_merge(t, spark):
     """Region states merged, their deadlines shifted by the difference of the ticks."""
     state = t("supplier").select(col("s_nationkey").alias("region"), col("s_suppkey").alias("deadline"), col("s_suppkey").alias("amount"))
-    moves = t("nation").where("n_nationkey < 5").select(col("n_nationkey").alias("source"), (100 + col("n_nationkey") % 2).alias("target"), lit(3).alias("tick_source"), lit(10).alias("tick_target"))
+    moves = t("nation").where("n_regionkey = 1").select(col("n_nationkey").alias("source"), (100 + col("n_nationkey") % 2).alias("target"), lit(3).alias("tick_source"), lit(10).alias("tick_target"))
     return C.merge_regions(state, moves, "region", "deadline", "amount")
 
 
@@ -187,12 +173,12 @@ def utilisation(t, spark):
     return T.utilisation(t("events").select("event_type", F.floor("value").cast("long").alias("busy")), "event_type", "busy", 1_000_000)
 
 
-@query("""WITH RECURSIVE s AS (SELECT user_id, floor(value)::BIGINT AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
-r AS (SELECT user_id, i, (v // 4) AS e FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.i, (r.e * 3 + s.v) // 4 FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)
+@query("""WITH RECURSIVE s AS (SELECT user_id, floor(value)::BIGINT - 60 AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, i, trunc(v / 4.0)::BIGINT AS e FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.i, trunc((r.e * 3 + s.v) / 4.0)::BIGINT FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)
 SELECT user_id, arg_max(e, i) AS ewma FROM r GROUP BY 1""")
 def ewma_latency(t, spark):
-    """A moving average in whole numbers over the values of a key in order of time."""
-    seq = t("events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.floor("value").cast("long").alias("v")))).alias("s"))
+    """A moving average in whole numbers, rounded towards zero, over the values of a key in order of time; some are negative."""
+    seq = t("events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.floor("value").cast("long") - 60).alias("v")))).alias("s"))
     return seq.select("user_id", T.integer_ewma(F.transform("s", lambda x: x["v"])).alias("ewma"))
 
 
@@ -250,8 +236,15 @@ def _boxes(t):
     return p.select("p_partkey", *(x for k, v in lo.items() for x in (v.cast("double").alias(f"min_{k}"), (v + 1 + col("p_partkey") % 3).cast("double").alias(f"max_{k}"))))
 
 
+def _taken(t):
+    """Boxes of a second table, all of them."""
+    k = col("s_suppkey")
+    lo = {"x": k * 7 % 97, "y": (k * 5 % 50).cast("long"), "z": k * 3 % 31}
+    return t("supplier").select(*(x for n, v in lo.items() for x in (v.cast("double").alias(f"min_{n}"), (v + 3).cast("double").alias(f"max_{n}"))))
+
+
 _BOXES = """WITH b AS (SELECT p_partkey, p_partkey % 97 AS x, p_size AS y, p_partkey % 31 AS z, 1 + p_partkey % 3 AS s FROM part),
-s AS (SELECT * FROM b WHERE p_partkey % 10 = 0) """
+s AS (SELECT s_suppkey * 7 % 97 AS x, s_suppkey * 5 % 50 AS y, s_suppkey * 3 % 31 AS z, 3 AS s FROM supplier) """
 _HIT = "(a.x < s.x + s.s AND a.x + a.s > s.x AND a.y < s.y + s.s AND a.y + a.s > s.y AND a.z < s.z + s.s AND a.z + a.s > s.z)"
 
 
@@ -259,14 +252,14 @@ _HIT = "(a.x < s.x + s.s AND a.x + a.s > s.x AND a.y < s.y + s.s AND a.y + a.s >
 def box_overlap_semi(t, spark):
     """Boxes that overlap some box of a set."""
     b = _boxes(t)
-    return P.boxes_overlapping(b, b.where("p_partkey % 10 = 0"), "p_partkey", 4.0).select("p_partkey")
+    return P.boxes_overlapping(b, _taken(t), "p_partkey", 4.0).select("p_partkey")
 
 
 @query(_BOXES + f"SELECT a.p_partkey FROM b a WHERE a.x >= 10 AND a.x + a.s <= 80 AND a.y >= 0 AND a.y + a.s <= 60 AND a.z >= 0 AND a.z + a.s <= 60 AND NOT EXISTS (SELECT 1 FROM s WHERE {_HIT})")
 def box_free_anti(t, spark):
     """Boxes inside bounds that overlap nothing taken."""
     b = _boxes(t)
-    return P.free_boxes(b, b.where("p_partkey % 10 = 0"), {"x": (10, 80), "y": (0, 60), "z": (0, 60)}, "p_partkey", 4.0).select("p_partkey")
+    return P.free_boxes(b, _taken(t), {"x": (10, 80), "y": (0, 60), "z": (0, 60)}, "p_partkey", 4.0).select("p_partkey")
 
 
 @query(_BOXES + f"SELECT a.p_partkey FROM b a WHERE EXISTS (SELECT 1 FROM b s WHERE s.p_partkey <> a.p_partkey AND {_HIT})")
@@ -276,11 +269,11 @@ def box_overlap_others(t, spark):
     return P.boxes_overlapping(b, b, "p_partkey", 4.0, not_self="p_partkey").select("p_partkey")
 
 
-@query(_BOXES + "SELECT p_partkey FROM part a WHERE EXISTS (SELECT 1 FROM s WHERE (a.p_partkey * 7) % 97 >= s.x AND (a.p_partkey * 7) % 97 < s.x + s.s AND a.p_size >= s.y AND a.p_size < s.y + s.s AND a.p_partkey % 31 >= s.z AND a.p_partkey % 31 < s.z + s.s)")
+@query(_BOXES + "SELECT p_partkey FROM part a WHERE EXISTS (SELECT 1 FROM b s WHERE (a.p_partkey * 7) % 97 >= s.x AND (a.p_partkey * 7) % 97 < s.x + s.s AND a.p_size >= s.y AND a.p_size < s.y + s.s AND a.p_partkey % 29 >= s.z AND a.p_partkey % 29 < s.z + s.s)")
 def point_in_box(t, spark):
     """Points inside some box."""
-    pts = t("part").select("p_partkey", (col("p_partkey") * 7 % 97).cast("double").alias("x"), col("p_size").cast("double").alias("y"), (col("p_partkey") % 31).cast("double").alias("z"))
-    return P.points_in_boxes(pts, _boxes(t).where("p_partkey % 10 = 0"), "p_partkey", 4.0).select("p_partkey")
+    pts = t("part").select("p_partkey", (col("p_partkey") * 7 % 97).cast("double").alias("x"), col("p_size").cast("double").alias("y"), (col("p_partkey") % 29).cast("double").alias("z"))
+    return P.points_in_boxes(pts, _boxes(t), "p_partkey", 4.0).select("p_partkey")
 
 
 @query("""WITH o AS (SELECT a.i AS i, b.j AS j FROM generate_series(-4, 4) a(i), generate_series(-4, 4) b(j) WHERE i * i + j * j <= 16),
@@ -336,10 +329,12 @@ def nearest_palette(t, spark):
     return R.nearest_of(df, _PALETTE, lambda c: N.redmean(col("c"), as_struct(c))).select("p_partkey", "nearest")
 
 
-@query()
+@query("""SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY (o_orderkey * 2654435761 + 7 * 40503) % 4294967296, o_orderkey)::INT AS place FROM orders""")
 def priority_order(t, spark):
-    """Highest priority first, in a keyed random order within one."""
-    return R.shuffled_by_priority(t("orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 7)
+    """Highest priority first, in a keyed random order within one; the place within its priority stands beside each row."""
+    df = t("orders").select("o_orderkey", "o_orderpriority")
+    places = R.top_k_per_key(df, ["o_orderpriority"], [R.shuffle_key(col("o_orderkey"), 7)], ["o_orderkey"], 2**31 - 1)
+    return R.shuffled_by_priority(places, "o_orderpriority", "o_orderkey", 7)
 
 
 # Sets and keys
@@ -444,13 +439,14 @@ def transform_points(t, spark):
 
 
 def _trees(t):
-    a = t("part").where("p_partkey % 4 <> 0").select(F.concat(lit("k"), (col("p_partkey") % 50).cast("string"), lit(".v"), col("p_partkey").cast("string")).alias("path"), (col("p_partkey") % 7 == 0).alias("is_mapping"), col("p_brand").alias("value"))
-    b = t("part").where("p_partkey % 5 <> 0").select(F.concat(lit("k"), (col("p_partkey") % 50).cast("string"), lit(".v"), col("p_partkey").cast("string")).alias("path"), (col("p_partkey") % 11 == 0).alias("is_mapping"), col("p_type").alias("value"))
-    return a, b
+    """Two trees of two whole tables; some paths are in both."""
+    path = lambda k: F.concat(lit("k"), (k % 50).cast("string"), lit(".v"), k.cast("string"))
+    a, b = col("p_partkey"), col("c_custkey") * 2
+    return t("part").select(path(a).alias("path"), (a % 7 == 0).alias("is_mapping"), col("p_brand").alias("value")), t("customer").select(path(b).alias("path"), (b % 11 == 0).alias("is_mapping"), col("c_mktsegment").alias("value"))
 
 
-_TREES = """WITH a AS (SELECT 'k' || (p_partkey % 50) || '.v' || p_partkey AS path, p_partkey % 7 = 0 AS m, p_brand AS value FROM part WHERE p_partkey % 4 <> 0),
-b AS (SELECT 'k' || (p_partkey % 50) || '.v' || p_partkey AS path, p_partkey % 11 = 0 AS m, p_type AS value FROM part WHERE p_partkey % 5 <> 0) """
+_TREES = """WITH a AS (SELECT 'k' || (p_partkey % 50) || '.v' || p_partkey AS path, p_partkey % 7 = 0 AS m, p_brand AS value FROM part),
+b AS (SELECT 'k' || (c_custkey * 2 % 50) || '.v' || (c_custkey * 2) AS path, c_custkey * 2 % 11 = 0 AS m, c_mktsegment AS value FROM customer) """
 
 
 @query(_TREES + """SELECT path, 0 AS step, 'ADD' AS change FROM b WHERE path NOT IN (SELECT path FROM a) UNION ALL SELECT path, 0, 'REMOVE' FROM a WHERE path NOT IN (SELECT path FROM b)
@@ -566,16 +562,33 @@ def text_checks(t, spark):
     return t("part").select("p_partkey", S.is_identifier(F.lower(F.replace("p_type", lit(" "), lit("_")))).alias("ident"), S.is_one_word(col("p_type")).alias("one_word"), S.flag(raw).alias("flag"), S.enum_or_ordinal(name, ["RED", "GREEN", "BLUE"]).alias("colour"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM benchmark),
+r AS (SELECT item_id, ws, 1 AS i, 0 AS n, ws[1] AS line FROM w WHERE len(ws) > 0
+UNION ALL SELECT item_id, ws, i + 1, CASE WHEN length(line) + 1 + length(ws[i + 1]) > 60 THEN n + 1 ELSE n END, CASE WHEN length(line) + 1 + length(ws[i + 1]) > 60 THEN ws[i + 1] ELSE line || ' ' || ws[i + 1] END FROM r WHERE i < len(ws))
+SELECT item_id, n, arg_max(line, i) AS line FROM r GROUP BY item_id, n""")
 def word_wrap(t, spark):
     """Texts in lines of at most 60 characters."""
-    return t("benchmark").select("item_id", F.posexplode(S.wrap_words(F.replace("text", lit("\n"), lit(" ")), 60)).alias("n", "line"))
+    return t("benchmark").select("item_id", F.posexplode(S.wrap_words(col("text"), 60)).alias("n", "line"))
+
+
+def _bits_sql(n: str) -> str:
+    """The bits of a positive whole number as a double, as a HUGEINT."""
+    e = f"(length(bin({n})) - 1)"
+    return f"((1023 + {e})::HUGEINT * 4503599627370496 + ({n} - (1::BIGINT << {e}))::HUGEINT * (1::HUGEINT << (52 - {e})))"
+
 
+_FNV = "(1469598103934665603::HUGEINT)"
+for _n in ("(c_custkey + 1)", "(c_nationkey + 1)::BIGINT", "(c_custkey * 3 + 7)"):
+    _FNV = f"((xor({_FNV}, {_bits_sql(_n)}) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
 
-@query()
+
+@query(f"""WITH g AS (SELECT c_custkey, (c_custkey::HUGEINT * 11400714819323198485) % 18446744073709551616 AS p, {_FNV} AS f FROM customer),
+h AS (SELECT c_custkey, (xor(p, p // 4294967296) % 4294967296)::BIGINT AS h, f FROM g)
+SELECT c_custkey, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END::INT AS h, (CASE WHEN f >= 9223372036854775808 THEN f - 18446744073709551616 ELSE f END)::BIGINT AS f FROM h""")
 def wrapping_hashes(t, spark):
     """Hashes in arithmetic that wraps."""
-    return t("customer").select("c_custkey", N.spread_hash("c_custkey").alias("h"), N.fnv_of_doubles("c_acctbal", "c_acctbal", "c_acctbal").alias("f"))
+    k = col("c_custkey")
+    return t("customer").select("c_custkey", N.spread_hash("c_custkey").alias("h"), N.fnv_of_doubles((k + 1).cast("double"), (col("c_nationkey") + 1).cast("double"), (k * 3 + 7).cast("double")).alias("f"))
 
 
 # Graph and matching
@@ -597,9 +610,9 @@ def jigsaw_attach(t, spark):
     return M.attachable(ends, ends)
 
 
-@query()
+@query("""SELECT p_partkey, p_size % 2 = 0 AS matches FROM part""")
 def recipe_match(t, spark):
-    """Items that fit all slots, one to one."""
+    """Items that fit all slots, one to one; a recipe with fewer slots than items does not match."""
     items = F.array(F.lower("p_brand"), col("p_type"))
     slots = F.array(F.array(F.lower("p_brand"), lit("x")), F.array("p_type"))
     return M.greedy_matches(t("part").select("p_partkey", items.alias("items"), F.when(col("p_size") % 2 == 0, slots).otherwise(F.reverse(F.slice(slots, 1, 1))).alias("slots")), "p_partkey", "items", "slots")
@@ -638,11 +651,19 @@ def user_state(t, spark):
     return A.merged_by(rows, "c_nationkey", lambda: {"n": 0, "top": float("-inf")}, add, "c_nationkey int, n long, top double")
 
 
-@query()
+_MIX = "((cx + dx) * 73856093 + (cy + dy) * 19349663 + (cz + dz) * 83492791)"
+_JIT = "((((({m} >> {k}) >> 24) & 1023) - 512) * 0.9::DOUBLE / 1024.0)"
+
+
+@query(f"""WITH p AS (SELECT c_custkey, c_acctbal AS x, c_custkey::DOUBLE AS y, c_nationkey::DOUBLE AS z, floor(c_acctbal / 4)::BIGINT AS cx, floor(c_custkey / 4.0)::BIGINT AS cy, floor(c_nationkey / 4.0)::BIGINT AS cz FROM customer),
+c AS (SELECT c_custkey, n, x, y, z, cx + dx AS sx, cy + dy AS sy, cz + dz AS sz, abs({_MIX}) * 1000003 AS m FROM p, (SELECT n, (n >> 2) & 1 AS dx, (n >> 1) & 1 AS dy, n & 1 AS dz FROM range(8) r(n))),
+d AS (SELECT c_custkey, n, pow(x - (sx * 4 + 4 * {_JIT.format(m="m", k=0)}), 2) + pow(y - (sy * 4 + 4 * {_JIT.format(m="m", k=8)}), 2) + pow(z - (sz * 4 + 4 * {_JIT.format(m="m", k=16)}), 2) AS d2 FROM c)
+SELECT c_custkey, arg_min(n, (d2, n))::INT AS corner, round(min(d2), 9) AS d2 FROM d GROUP BY 1""")
 def jittered_corner(t, spark):
     """The nearest of eight jittered corners around a point."""
     x, y, z = col("c_acctbal"), col("c_custkey").cast("double"), col("c_nationkey").cast("double")
-    best = A.nearest_corner(x, y, z, 4, lambda s: N.jitter(s))
+    mixed = lambda a, b, c: F.abs(a * 73856093 + b * 19349663 + c * 83492791) * 1000003
+    best = A.nearest_corner(x, y, z, 4, lambda s: N.jitter(s), mixed)
     return t("customer").select("c_custkey", best["corner"].alias("corner"), F.round(best["d2"], 9).alias("d2"))
 
 

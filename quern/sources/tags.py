@@ -114,3 +114,13 @@ def read_tags(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["source", "path", "tag", "value"])
 
     return files.mapInPandas(run, "source string, path string, tag int, value string")
+
+
+def write_tags(spark: SparkSession, files: list[tuple[str, dict]], folder: str) -> None:
+    """One zipped file for each (name, tree), through the store's own file system."""
+    jvm = spark.sparkContext._jvm
+    for name, tree in files:
+        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.dat")
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+        out.write(bytearray(serialise(name, tree)))
+        out.close()

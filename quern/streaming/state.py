@@ -18,13 +18,14 @@ def sliding_means(stream: DataFrame, handle: str, ts: str, value: str, length: s
 
 
 def ewma_stream(stream: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """The running (3 x old + new) / 4 of each key, in whole numbers; one row for each key and batch, whose rows count in ``order``."""
+    """The running (3 x old + new) / 4 of each key, in whole numbers rounded towards zero; one row for each key and batch, whose rows count in ``order``."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         old = state.get[0] if state.exists else 0
         for f in frames:
             for x in f.sort_values("__order")["__value"]:
-                old = (old * 3 + int(x)) // 4
+                total = old * 3 + int(x)
+                old = total // 4 if total >= 0 else -(-total // 4)
         state.update((old,))
         yield pd.DataFrame({"key": [str(k[0])], "ewma": [old]})
 
