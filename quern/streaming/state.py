@@ -76,3 +76,29 @@ def expiring_stream(stream: DataFrame, key: str, value: str, ttl_ms: int) -> Dat
 def throttled(stream: DataFrame, sink, seconds: int = 1):
     """A started query that hands each batch to ``sink(df, id)`` at most once in so many seconds."""
     return stream.writeStream.trigger(processingTime=f"{seconds} seconds").foreachBatch(sink).start()
+
+
+def tumbling_counts(stream: DataFrame, key: str, ts: str, length: str, late: str) -> DataFrame:
+    """(key, start, n): rows of each key in windows that follow each other, with a watermark."""
+    timed = stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
+    out = timed.groupBy(F.window("__ts", length), F.col(key)).agg(F.count("*").alias("n"))
+    return out.select(key, F.col("window.start").alias("start"), "n")
+
+
+def session_counts(stream: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
+    """(key, start, end, n): rows of each key in sessions that a gap ends, with a watermark."""
+    timed = stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
+    out = timed.groupBy(F.session_window("__ts", gap), F.col(key)).agg(F.count("*").alias("n"))
+    return out.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def joined_within(left: DataFrame, right: DataFrame, key: str, ts: str, reach: str, late: str) -> DataFrame:
+    """Pairs of rows of two streams with one key, where the right one comes up to ``reach`` before or after the left one.
+
+    Watermarks on both sides let Spark drop rows that can have no partner any more. The columns of the left
+    side stay; the right side's key and time go, and its other columns must have different names.
+    """
+    a = left.withColumn("__a", F.col(ts).cast("timestamp")).withWatermark("__a", late)
+    b = right.withColumnsRenamed({key: "__k", ts: "__t"}).withColumn("__b", F.col("__t").cast("timestamp")).withWatermark("__b", late)
+    near = (F.col(key) == F.col("__k")) & (F.col("__b") >= F.col("__a") - F.expr(f"INTERVAL {reach}")) & (F.col("__b") <= F.col("__a") + F.expr(f"INTERVAL {reach}"))
+    return a.join(b, near).drop("__a", "__b", "__k", "__t")
