@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import steps, texts_of, written
+from .shared import drop_written, steps, texts_of, written
 
 
 #: Ids of copies up to which they are broadcast to the scan of the texts; beyond, that join is a shuffled one.
@@ -79,6 +79,7 @@ def exact_classes(docs: DataFrame, prints: DataFrame, text: str = "text", doc_id
     shared = exact_digests(found, keep=("doc_id", "tie")).join(several, "fingerprint")
     head = written(shared.where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("fingerprint").agg(F.min("canonical").alias("head")))
     differs = written(shared.join(head, "fingerprint").where("canonical <> head").select("doc_id", "tie", "fingerprint", "canonical"))  # as good as always empty
+    drop_written(prints.sparkSession, wanted, head)
     if differs.isEmpty():
         return prints.join(least, "fingerprint").select(*prints.columns, F.col("__least").alias("class_id"), F.col("__n").alias("n_copies"))
     apart = differs.groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("__own"), F.count("*").alias("__m"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop_written, written
 
 #: Lines in a window of fingerprint selection; also the lines that make a run long enough.
 WINDOW = 4
@@ -111,6 +111,7 @@ def repeated_runs(hashed: DataFrame) -> DataFrame:
     pieces = [left_out(WINDOW, lead) for lead in range(WINDOW)] + [left_out(size, lead) for size in range(2, WINDOW) for lead in (0, size - 1)]
     whole = F.when(enough, run(F.col("pos") - F.col("back"), F.col("pos") + 1 + F.col("on"), F.lit(None).cast("long")))
     each = written(matched.select("ord", "th", F.explode(F.array_compact(F.array(whole, *pieces))).alias("r")).select("ord", "th", "r.*"))
+    drop_written(hashed.sparkSession, counted, shared, first)
     place = F.struct("ord", "th", "first")
     again = each.where("piece is not null")
     firsts = written(again.groupBy("piece").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("piece", "f"))

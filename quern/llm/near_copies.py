@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import steps, texts_of, written
+from .shared import drop_written, steps, texts_of, written
 from .simhash import SEED, _majority, shingle_hashes, simhash_links
 
 BANDS, ROWS = 32, 5
@@ -238,4 +238,5 @@ def near_classes(docs: DataFrame, words: int = 5, least: float = 0.8, text: str
     one = written(signed.groupBy("k").agg(F.min(F.struct("doc_id", "h", "size")).alias("s")).join(roots, F.col("k") == F.col("node")).select("k", "root", F.col("s.size").alias("size"), F.col("s.doc_id").alias("d"), F.col("s.h").alias("t")))
     texts = picked.join(one, (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("t"))).select("root", "k", "size", "text")
     sure = written(confirmed(one, texts, words, least))
+    drop_written(docs.sparkSession, roots, one)
     return signed.select("doc_id", "h", "k").join(sure, F.col("k") == F.col("node"), "left").select("doc_id", "h", F.coalesce("class", "k").alias("class"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import steps, texts_of, written
+from .shared import drop_written, steps, texts_of, written
 
 #: Perfect codes as (length, generator polynomial, covering radius); fixed values.
 GOLAY = (23, 0b101011100011, 3)
@@ -290,6 +290,8 @@ def simhash_classes(docs: DataFrame, words: int = 4, threshold: int = 4, text: s
     links = simhash_links(prints, threshold, parts, both)
     roots = connected_components(links)
     joined = written(smallest.join(roots, smallest.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    drop_written(docs.sparkSession, smallest, roots)
     least = written(joined.groupBy("root").agg(F.min("least").alias("component_id")))
     classes = written(joined.join(least, "root").select("fp", "component_id"))
+    drop_written(docs.sparkSession, joined, least)
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
