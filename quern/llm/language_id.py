@@ -114,8 +114,8 @@ def learn_profiles(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str =
     A language with more than ``sample_docs`` labelled documents is sampled: a row is taken if a hash of
     its id falls below sample_docs / documents of that language, so about ``sample_docs`` are, from
     the whole table. This is the one bound here; the sampled texts count whole. N-grams are counted in
-    the tasks and summed by key; PROFILE rows a language reach the driver. Null languages and texts
-    teach nothing.
+    the tasks and summed by key; a count and PROFILE rows a language reach the driver, so the languages have to be
+    a bounded set, as they are as names of languages. Null languages and texts teach nothing.
     """
     labelled = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import steps, texts_of
+from .shared import steps, texts_of, written
 
 #: Labelled documents, as expected, on which the model is fitted; the one bound here.
 SAMPLE_DOCS = 6000
@@ -114,9 +114,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_D
     """A model fitted on about ``sample_docs`` labelled documents, drawn by a hash of the id from all labels.
 
     Rows of ``labels`` (doc_id, quality, toxic) without toxic or id are left out; the highest grade counts
-    for an id with several. The drawn ids, at most a small multiple of ``sample_docs``, are broadcast to the scan
-    of the texts; FEATURES counts and one short row for each drawn document reach the driver. No
-    labels give a model without features.
+    for an id with several; of the texts of an id that repeats in ``docs`` the one with the least hash counts. The
+    drawn ids, at most a small multiple of ``sample_docs``, are broadcast to the scan of the texts, which are written
+    once, one for each id; FEATURES counts and one short row for each drawn id reach the driver. No labels give a
+    model without features, and neither do labels of one grade only.
     """
     graded = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(grade_of(F.col("toxic"), F.col("quality"))).alias("grade"))
     n = graded.count()
@@ -124,7 +125,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_D
         return ToxicityModel()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / (1 << 30)
     drawn = graded.where(draw < min(1.0, sample_docs / n))
-    sample = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id").select("grade", "text")
+    found = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")
+    sample = written(found.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text")).select("grade", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [Counter() for _ in range(GRADES)]
@@ -167,7 +169,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_D
     at = got.column("at").combine_chunks()
     lengths = pa.compute.list_value_length(at).to_numpy()
     x[np.repeat(np.arange(len(grades)), lengths), at.flatten().to_numpy()] = 1
-    order = np.lexsort((*x.T[:8], grades))  # the rows arrive in any order
+    _, rank = np.unique(np.packbits(x > 0, axis=1), axis=0, return_inverse=True)
+    order = np.lexsort((rank.ravel(), grades))  # the rows arrive in any order
     w, theta = fit_cumulative_link(x[order], grades[order])
     return ToxicityModel({f: round(float(w[i]), 6) for f, i in place.items() if abs(w[i]) > 1e-6}, tuple(round(float(x), 6) for x in theta))
 
@@ -175,7 +178,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_D
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """The rows and columns of ``docs`` with ``severity`` (expected grade, 0 to GRADES - 1), ``grade`` (the
     highest that is exceeded with probability one half or more) and ``toxic`` (grade above 0); these
-    replace columns of the same names. Null texts count as empty; texts are scored whole."""
+    replace columns of the same names. Null texts count as empty; texts of any length are scored whole; rows that
+    repeat are scored alike, and an empty table stays empty."""
     held = docs.drop("severity", "grade", "toxic")
     schema = T.StructType([*held.schema.fields, T.StructField("severity", T.DoubleType()), T.StructField("grade", T.LongType())])
     picked = held.withColumn("__text", F.col(text))
