@@ -6,11 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def dictionary(df: DataFrame, column: str, position: str) -> DataFrame:
-    """(value, code): the distinct values numbered from 0 by first position. Only the distinct values are sorted."""
+    """(value, code): the distinct values numbered from 0 by first position, and by value where positions tie.
+
+    The distinct values are sorted in ranges and numbered range by range, so no task holds all of them; one count
+    for each range is broadcast.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = df.groupBy(column).agg(F.min(position).alias("first"))
-    return first.select(column, (F.row_number().over(W.orderBy("first", column)) - 1).cast("int").alias("code"))
+    ranged = written(first.repartitionByRange(n, "first", column).withColumn("part", F.spark_partition_id()))
+    before = F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("size")).withColumn("before", F.coalesce(before, F.lit(0)))
+    placed = ranged.withColumn("at", F.row_number().over(W.partitionBy("part").orderBy("first", column)) - 1)
+    return placed.join(F.broadcast(sizes), "part").select(column, (F.col("at") + F.col("before")).cast("int").alias("code"))
 
 
 def bits_for(top: Column) -> Column:

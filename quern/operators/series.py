@@ -51,7 +51,10 @@ def utilisation(df: DataFrame, handle: str, busy_ns: str, window_ns: int) -> Dat
 
 
 def integer_ewma(values: Column, start: int = 0) -> Column:
-    """(3 x old + new) / 4 in whole numbers, rounded towards zero, over an array in order of time."""
+    """(3 x old + new) / 4 in whole numbers, rounded towards zero, over an array in order of time.
+
+    Rounding makes the result depend on every step, so a key's values cannot be split: they are one array in one task.
+    """
     return F.aggregate(values, F.lit(start).cast("long"), lambda old, x: F.call_function("div", old * 3 + x, F.lit(4).cast("long")))
 
 
