@@ -8,20 +8,12 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import scratch_dir, written  # noqa: F401  (the operators take them from here)
 
 #: Characters of text that one step of a Python stage handles at a time.
 STEP_CHARS = 2_000_000
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: the lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files behind ``written`` tables that nothing needs any more."""
     jvm = spark.sparkContext._jvm
