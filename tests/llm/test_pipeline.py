@@ -1,9 +1,18 @@
 """The pipeline's stages by their decisions, and its run on a small table."""
 
+import collections
+import hashlib
+import re
+import zlib
+
 import corpus_pipeline as C
-from quern.llm.language_id import UNKNOWN
+from quern.llm.language_id import PROFILE, UNKNOWN
+from quern.llm.queries import tokenizer_file
 
 from .conftest import SCHEMA, sentence
+from .test_duplicates import brute_hits, every_repeat
+from .test_models import plain_counts
+from .test_near_copies import brute_classes
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,6 +60,55 @@ def test_empty_and_odd(spark):
         assert out.count() <= len(data)
 
 
-def test_run(spark):
-    out = C.run(spark, SF)
-    assert out.count() > 150 and {"doc_id", "ids", "n_tokens"} <= set(out.columns)
+def ranked(counts):
+    """N-grams by count, then by length and code points; the first PROFILE of them, with their places."""
+    return {g: k for k, g in enumerate(sorted(counts, key=lambda g: (-counts[g], len(g), g))[:PROFILE])}
+
+
+def plain_languages(rows):
+    """The first stage in plain Python: rows (id, text, lang, source) that stay, with their language."""
+    learned = collections.defaultdict(collections.Counter)
+    for i, t, lang, _ in rows:
+        if lang is not None and t is not None and (i is None or zlib.crc32(str(i).encode()) % 3 != 1):
+            learned[lang].update(plain_counts(t))
+    profiles = {k: ranked(c) for k, c in sorted(learned.items())}
+    out = []
+    for i, t, lang, source in rows:
+        mine = ranked(plain_counts(t or ""))
+        if mine:
+            apart = {k: sum(abs(place - p[g]) if g in p else PROFILE for g, place in mine.items()) for k, p in profiles.items()}
+            best = min(apart, key=lambda k: (apart[k], k))
+            if 1 - apart[best] / (PROFILE * len(mine)) >= C.LEAST_SCORE:
+                out.append((i, t, lang if lang is not None else best, source))
+    return out
+
+
+def test_run_against_plain_python(spark, tmp_path):
+    """All five stages over the driver's smallest table and a few odd rows, against the same stages in plain Python."""
+    from tokenizers import Tokenizer
+
+    base = sentence(501, 120)
+    odd = [(9001, "12 34 !!", None, "x", 8), (9002, None, "en", "x", None), (9003, base, None, "x", 1), (9004, base, "en", "x", 1), (9005, base + " more", "en", "x", 1)]
+    spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame(odd, SCHEMA)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert len({i for i, *_ in docs}) == len(docs)
+    kept = plain_languages(docs)
+    cut = {i: t for i, t, _ in every_repeat([(i, t) for i, t, *_ in kept])}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for i, t in cut.items()}
+    ids = sorted(cut)
+    label = brute_classes([{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (words[i] for i in ids)], 0.8)
+    first = {min(ids[k] for k in range(len(ids)) if label[k] == x) for x in set(label)}
+    hit = {i for i, _, n, _ in brute_hits([(i, cut[i]) for i in first], items) if n}
+    library = Tokenizer.from_file(tokenizer_file())
+    library.no_truncation()
+    library.no_padding()
+    want = []
+    for i, _, lang, source in kept:
+        if i in first and str(i) not in hit:
+            tokens = library.encode(cut[i], add_special_tokens=False).ids
+            want.append((i, lang, source, tokens, len(tokens), hashlib.sha256(library.decode(tokens, skip_special_tokens=False).encode()).hexdigest()))
+    got = sorted((r.doc_id, r.lang, r.source, list(r.ids), r.n_tokens, r.decoded_sha256) for r in C.run(spark, str(tmp_path)).collect())
+    assert len(kept) < len(docs) and len(first) < len(kept) and hit and len(got) > 100
+    assert got == sorted(want)
