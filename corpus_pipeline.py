@@ -60,7 +60,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("line_dedup", dedup_lines), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("bpe", encode)]
-#: SQL can express neither the profiles nor the fingerprints; the tests compare the stages with brute force.
+#: SQL can express neither the profiles nor the fingerprints; the tests hold run() against the same stages in plain Python.
 ORACLE_SQL = None
 
 
