@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import drop_written, steps, texts_of, written
-from .simhash import SEED, _majority, shingle_hashes, simhash_links
+from .simhash import SEED, majority, shingle_hashes, simhash_links
 
 BANDS, ROWS = 32, 5
 #: Bits in which SimHash prints of candidates differ at most.
@@ -51,7 +51,7 @@ def words_of(text: str | None) -> bytes:
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The distinct XXH64 values of the shingles of ``words`` words; fewer words are one shingle, none give none."""
-    return np.unique(shingle_hashes(text, words)[0].view(">u8").astype(np.uint64).ravel())
+    return np.unique(shingle_hashes(text, words).view(">u8").astype(np.uint64).ravel())
 
 
 def bands(values: np.ndarray) -> list[int]:
@@ -224,11 +224,11 @@ def near_classes(docs: DataFrame, words: int = 5, least: float = 0.8, text: str
         for b in steps(batches):
             keys, sizes, prints, all_bands = [], [], [], []
             for t in texts_of(b):
-                hashes = shingle_hashes(t, words)[0]
+                hashes = shingle_hashes(t, words)
                 values = np.unique(hashes.view(">u8").astype(np.uint64).ravel())
                 keys.append(_signed(xxhash.xxh64_intdigest(words_of(t), SEED)))
                 sizes.append(len(values))
-                prints.append(_signed(_majority(hashes)))
+                prints.append(_signed(majority(hashes)))
                 all_bands.append(bands(values))
             made = [pa.array(x, pa.int64()) for x in (keys, sizes, prints)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, pa.array(all_bands, pa.list_(pa.int64()))], names=["doc_id", "h", "k", "size", "fp", "bands"])

@@ -1,16 +1,16 @@
 """Operator 4: SimHash fingerprints and near-duplicate classes by anchor-point covering.
 
 The anchors are a covering code. The 64 bits of a fingerprint are two halves; each half is a block
-of 23 bits (perfect Golay code, covering radius 3), a block of 7 bits (perfect Hamming code,
-covering radius 1) and 2 bits kept as they are. Two fingerprints that differ in at most t bits
-differ in at most t // 2 bits in one of the halves. There, the second one lies within t // 2 more
+of 23 bits (perfect Golay code, covering radius 3) and 9 bits kept as they are. Two fingerprints that
+differ in at most t bits differ in at most t // 2 bits in one of the halves. There, the second one lies within t // 2 more
 than the covering radius of the first one's nearest anchor. So each distinct fingerprint goes to
 its nearest anchor of either half as a resident, and to every anchor within covering radius plus
 t // 2 as a visitor; residents are compared with the visitors of their anchor, and no link is missed.
 
-For larger thresholds the bits are three blocks of 21 and 22 bits, each in a Golay code of its own
-with the missing bits zero; one of the blocks differs in at most t // 3 bits. Far pairs that agree by
-chance are then told from near copies by a second fingerprint, of other hash values, that travels along.
+A half has 2**21 anchors, and at t = 4 a fingerprint visits about 105 of them. What an anchor compares grows with the
+fingerprints of the corpus. Beyond MANY of them every value of a half is an anchor of its own (covering radius 0): five
+times the visits, but so many anchors that few fingerprints share one. Blocks of 7 bits (perfect Hamming code) and other
+layouts are allowed too.
 
 What an anchor finds leaves it as spanning links, at most one for each fingerprint, so a large
 group of near copies makes a line of links for each member and not all pairs.
@@ -36,10 +36,14 @@ from .shared import drop_written, steps, texts_of, written
 GOLAY = (23, 0b101011100011, 3)
 HAMMING = (7, 0b1011, 1)
 #: Parts of a fingerprint, each (lowest bit, bits in a Golay code, bits in a Hamming code, bits kept as they are).
-HALVES = ((0, 23, 7, 2), (32, 23, 7, 2))
+HALVES = ((0, 23, 0, 9), (32, 23, 0, 9))
+EXACT_HALVES = ((0, 0, 0, 32), (32, 0, 0, 32))
+HAMMING_HALVES = ((0, 23, 7, 2), (32, 23, 7, 2))
 THIRDS = ((0, 21, 0, 0), (21, 21, 0, 0), (42, 22, 0, 0))
-#: Seed of the XXH64 values, and that of the second fingerprint.
-SEED, SECOND_SEED = 42, 43
+#: Distinct fingerprints beyond which every value of a half is an anchor.
+MANY = 1 << 30
+#: Seed of the XXH64 values.
+SEED = 42
 #: Pairs compared in one vectorised step.
 PAIRS = 2_000_000
 #: Residents of an anchor beyond which they are dealt to several tasks.
@@ -48,54 +52,49 @@ RESIDENTS = 20_000
 HELD = 200_000
 
 
-def _majority(hashes: np.ndarray) -> int:
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 16384):
-        counts += np.unpackbits(hashes[at : at + 16384], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
-
-
-def shingle_hashes(text: str | None, words: int, seeds: tuple[int, ...] = (SEED,)) -> list[np.ndarray]:
-    """For each seed the XXH64 values (rows of 8 bytes, highest first) of a text's shingles, repeats included.
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The XXH64 values (rows of 8 bytes, highest first) of a text's shingles, repeats included.
 
     A-Z become lower case; words are runs without space, tab, line feed, vertical tab, form feed and carriage
     return; shingles are ``words`` words joined by a space; a text with fewer words is one shingle, one without has none.
     """
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return [np.empty((0, 8), np.uint8) for _ in seeds]
+        return np.empty((0, 8), np.uint8)
     flat = b" ".join(found)
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(sizes + 1) - 1
     first, last = (ends - sizes)[: max(1, len(found) - words + 1)].tolist(), ends[min(words, len(found)) - 1 :].tolist()
-    shingles = [flat[a:b] for a, b in zip(first, last, strict=True)]
     digest = xxhash.xxh64_digest
-    return [np.frombuffer(b"".join([digest(x, seed) for x in shingles]), np.uint8).reshape(-1, 8) for seed in seeds]
+    return np.frombuffer(b"".join([digest(flat[a:b], SEED) for a, b in zip(first, last, strict=True)]), np.uint8).reshape(-1, 8)
 
 
-def fingerprint(text: str | None, words: int = 4, seeds: tuple[int, ...] = (SEED,)) -> int | tuple[int, ...]:
-    """The unsigned 64-bit SimHash of a whole text, or one for each of several seeds.
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the values; of none, zero."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 16384):
+        counts += np.unpackbits(hashes[at : at + 16384], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
-    Shingles count as often as they occur; a bit is 1 if it is set in over half of their XXH64 values (see
-    ``shingle_hashes``). A text without words gives zero.
-    """
-    got = tuple(_majority(hashes) for hashes in shingle_hashes(text, words, seeds))
-    return got[0] if len(seeds) == 1 else got
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """The unsigned 64-bit SimHash of a whole text: a bit is 1 if it is set in over half of the values of its shingles,
+    which count as often as they occur (see ``shingle_hashes``). A text without words gives zero."""
+    return majority(shingle_hashes(text, words))
 
 
-def simhash_fingerprints(docs: DataFrame, words: int = 4, text: str = "text", keep: tuple[str, ...] = ("doc_id",), second: bool = False) -> DataFrame:
-    """Columns ``keep``, ``fp`` (the fingerprint as a signed long) and, if asked for, ``fp2`` (the second one).
+def simhash_fingerprints(docs: DataFrame, words: int = 4, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` and ``fp`` (the fingerprint as a signed long).
 
     Null, empty and blank texts give zero. Nothing is shuffled; one document is in memory at a time.
     """
     picked = docs.select(*keep, F.col(text).alias("__text"))
-    seeds = (SEED, SECOND_SEED)[: 1 + second]
-    schema = T.StructType([*picked.drop("__text").schema.fields, *(T.StructField(n, T.LongType()) for n in ("fp", "fp2")[: 1 + second])])
+    schema = T.StructType([*picked.drop("__text").schema.fields, T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "__text"):
-            got = np.array([fingerprint(t, words, seeds) for t in texts_of(b, "__text")], np.uint64).reshape(-1, len(seeds)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(got[:, k]) for k in range(len(seeds)))], names=schema.names)
+            got = np.array([fingerprint(t, words) for t in texts_of(b, "__text")], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got.view(np.int64))], names=schema.names)
 
     return picked.mapInArrow(run, schema)
 
@@ -156,20 +155,21 @@ def anchors_of(prints: np.ndarray, threshold: int, parts: tuple = HALVES) -> tup
     for n, (low, g_bits, h_bits, f_bits) in enumerate(parts):
         bits = (prints >> np.uint64(low)).astype(np.uint64).view(np.int64)
         g, h, f = bits & (1 << g_bits) - 1, bits >> g_bits & (1 << h_bits) - 1, bits >> (g_bits + h_bits) & (1 << f_bits) - 1
-        s = golay.syndrome(g)
-        row, at = _expand(golay.begin[s], golay.begin[s + 1] - golay.begin[s])
-        word, over = (g[row] ^ golay.pattern[at]) >> golay.check, golay.over[at]
-        if h_bits:
-            s = hamming.syndrome(h)[row]
-            k, at = _expand(hamming.begin[s], hamming.begin[s + 1] - hamming.begin[s])
-            over = over[k] + hamming.over[at]
-            ok = over <= budget
-            k, at, over = k[ok], at[ok], over[ok]
-            row, word = row[k], word[k] << 4 | (h[row[k]] ^ hamming.pattern[at]) >> hamming.check
-        for flip in range(1 << f_bits):
-            weight = flip.bit_count()
+        row, word, over = np.arange(len(prints)), np.zeros(len(prints), np.int64), np.zeros(len(prints), np.int64)
+        for code, block, used in ((golay, g, g_bits), (hamming, h, h_bits)):
+            if used:
+                s = code.syndrome(block)[row]
+                k, at = _expand(code.begin[s], code.begin[s + 1] - code.begin[s])
+                over = over[k] + code.over[at]
+                ok = over <= budget
+                k, at, over = k[ok], at[ok], over[ok]
+                row = row[k]
+                word = word[k] << (code.length - code.check) | (block[row] ^ code.pattern[at]) >> code.check
+        for weight in range(budget + 1):
             ok = over + weight <= budget
-            out.append((row[ok], n << 18 | word[ok] << f_bits | (f[row[ok]] ^ flip), over[ok] + weight == 0))
+            near, rest, first = row[ok], (n << 60 | word[ok] << f_bits | f[row[ok]]), over[ok] + weight == 0
+            for bits_ in combinations(range(f_bits), weight):
+                out.append((near, rest ^ sum(1 << i for i in bits_), first))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -192,10 +192,10 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[moved], values[label[moved]]
 
 
-def _compare(anchor: np.ndarray, fp: np.ndarray, fp2: np.ndarray, home: np.ndarray, threshold: int, both: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Spanning links between residents and visitors of whole anchors (rows sorted by anchor)."""
+def _compare(group: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spanning links between residents and visitors of whole anchors (rows sorted by the number of their group)."""
     res = np.flatnonzero(home)
-    lo, hi = (np.searchsorted(anchor, anchor[res], side) for side in ("left", "right"))
+    lo, hi = (np.searchsorted(group, group[res], side) for side in ("left", "right"))
     n = hi - lo
     upto = np.cumsum(n)
     start = 0
@@ -204,90 +204,92 @@ def _compare(anchor: np.ndarray, fp: np.ndarray, fp2: np.ndarray, home: np.ndarr
         k, other = _expand(lo[start:stop], n[start:stop])
         apart = np.bitwise_count(fp[res[start:stop]][k] ^ fp[other])
         hit = np.flatnonzero((apart <= threshold) & (apart > 0))
-        mine, other = res[start:stop][k[hit]], other[hit]
-        if both:
-            ok = apart[hit] + np.bitwise_count(fp2[mine] ^ fp2[other]) <= both
-            mine, other = mine[ok], other[ok]
-        if len(mine):
-            yield spanning(fp[mine].view(np.int64), fp[other].view(np.int64))
+        if len(hit):
+            yield spanning(fp[res[start:stop][k[hit]]].view(np.int64), fp[other[hit]].view(np.int64))
         start = stop
 
 
-def simhash_links(prints: DataFrame, threshold: int = 4, parts: tuple = HALVES, both: int = 0) -> DataFrame:
+def simhash_links(prints: DataFrame, threshold: int = 4, parts: tuple | None = None) -> DataFrame:
     """Links (``u``, ``v``) between distinct fingerprints ``fp`` at ``threshold`` or fewer differing bits, enough
-    of them to connect all that are linked. With ``both``, the bits that differ in ``fp`` and ``fp2`` together
-    are at most so many as well."""
-    distinct = prints.where("fp is not null").groupBy("fp").agg(F.min("fp2" if both else F.lit(0).cast("long")).alias("fp2"))
+    of them to connect all that are linked. ``parts`` says where the anchors lie; by default there are more of
+    them for very many fingerprints."""
+    distinct = prints.where("fp is not null").select("fp").distinct()
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        parts = HALVES if distinct.count() <= MANY else EXACT_HALVES
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, fp2 = (b.column(k).to_numpy() for k in (0, 1))
+            fp = b.column(0).to_numpy()
             for at in range(0, len(fp), 2048):
                 row, anchor, home = anchors_of(fp[at : at + 2048], threshold, parts)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(fp[at + row]), pa.array(fp2[at + row]), pa.array(home)], names=["anchor", "fp", "fp2", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[at + row]), pa.array(home)], names=["anchor", "fp", "home"])
 
     def residents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, anchor, _ = anchors_of(b.column(0).to_numpy(), 0, parts)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32))], names=["anchor"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor)], names=["anchor"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            key, fp, fp2, home = rows
-            for u, v in _compare(key, fp.view(np.uint64), fp2.view(np.uint64), home, threshold, both):
+            group, fp, home = rows
+            for u, v in _compare(group, fp.view(np.uint64), home, threshold):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
+        def numbered(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+            """Rows of one anchor and share follow each other; each such group gets a number."""
+            anchor, share, fp, home = rows
+            new = np.append(True, (anchor[1:] != anchor[:-1]) | (share[1:] != share[:-1]))
+            return np.cumsum(new), fp, home
+
         for b in batches:
             if not b.num_rows:
                 continue
-            key = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy().astype(np.int64)
-            held.append((key, b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)))
+            held.append((*(b.column(k).to_numpy() for k in (0, 1, 2)), b.column(3).to_numpy(zero_copy_only=False)))
             size += b.num_rows
             if size >= HELD:
                 rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last anchor may go on
+                group, fp, home = numbered(rows)
+                last = int(np.searchsorted(group, group[-1]))  # the last anchor may go on
                 if last:
-                    yield from flush(tuple(x[:last] for x in rows))
+                    yield from flush((group[:last], fp[:last], home[:last]))
                     rows = tuple(x[last:] for x in rows)
-                elif not rows[3].all():  # residents come first: these have met their first visitors, and wait for more
-                    yield from flush(rows)
-                    rows = tuple(x[rows[3]] for x in rows)
+                elif not home.all():  # residents come first: these have met their first visitors, and wait for more
+                    yield from flush((group, fp, home))
+                    rows = tuple(x[home] for x in rows)
                 held, size = [rows], len(rows[0])
         if held:
-            yield from flush(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from flush(numbered(tuple(np.concatenate(x) for x in zip(*held, strict=True))))
 
-    sent = distinct.mapInArrow(replicate, "anchor int, fp long, fp2 long, home boolean")
-    homes = distinct.select("fp").mapInArrow(residents, "anchor int").groupBy("anchor").count().where(F.col("count") > RESIDENTS)
+    sent = distinct.mapInArrow(replicate, "anchor long, fp long, home boolean")
+    homes = distinct.mapInArrow(residents, "anchor long").groupBy("anchor").count().where(F.col("count") > RESIDENTS)
     crowded = written(homes.select("anchor", F.ceil(F.col("count") / RESIDENTS).cast("int").alias("shares")))
     if crowded.isEmpty():
-        dealt = sent.select("anchor", F.lit(0).alias("share"), "fp", "fp2", "home")
+        dealt = sent.select("anchor", F.lit(0).alias("share"), "fp", "home")
     else:  # residents and visitors of a crowded anchor are dealt to shares; every share of the ones meets every share of the others
         own, each = F.pmod(F.hash("fp"), F.col("shares")), F.sequence(F.lit(0), F.col("shares") - 1)
-        both_of = sent.join(crowded, "anchor", "left").fillna(1, "shares")
-        home = both_of.where("home").select("anchor", "fp", "fp2", (own * F.col("shares")).alias("row"), F.explode(each).alias("k")).select("anchor", (F.col("row") + F.col("k")).alias("share"), "fp", "fp2", F.lit(True).alias("home"))
-        away = both_of.select("anchor", "fp", "fp2", "shares", own.alias("own"), F.explode(each).alias("k")).select("anchor", (F.col("k") * F.col("shares") + F.col("own")).alias("share"), "fp", "fp2", F.lit(False).alias("home"))
+        all_of = sent.join(crowded, "anchor", "left").fillna(1, "shares")
+        home = all_of.where("home").select("anchor", "fp", (own * F.col("shares")).alias("row"), F.explode(each).alias("k")).select("anchor", (F.col("row") + F.col("k")).alias("share"), "fp", F.lit(True).alias("home"))
+        away = all_of.select("anchor", "fp", "shares", own.alias("own"), F.explode(each).alias("k")).select("anchor", (F.col("k") * F.col("shares") + F.col("own")).alias("share"), "fp", F.lit(False).alias("home"))
         dealt = home.unionByName(away)
     return dealt.repartition(n, "anchor", "share").sortWithinPartitions("anchor", "share", F.desc("home")).mapInArrow(compare, "u long, v long")
 
 
-def simhash_classes(docs: DataFrame, words: int = 4, threshold: int = 4, text: str = "text", doc_id: str = "doc_id", parts: tuple = HALVES, both: int = 0) -> DataFrame:
+def simhash_classes(docs: DataFrame, words: int = 4, threshold: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: doc_id, fp and component_id.
 
-    Fingerprints at ``threshold`` or fewer differing bits are linked (and, with ``both``, at so many or fewer
-    in two fingerprints together), and component_id is the smallest doc_id reachable over links, the document
-    itself included. Copies share one fingerprint and meet
-    only in an aggregation. Blank texts share fingerprint zero. Null ids get a row and count for no
+    Fingerprints at ``threshold`` or fewer differing bits are linked, and component_id is the smallest doc_id
+    reachable over links, the document itself included. Copies share one fingerprint and meet only in an aggregation. Blank texts share fingerprint zero. Null ids get a row and count for no
     minimum; repeated rows are kept; other columns are not read. An empty table gives no row; texts of any length
     are read whole. Aggregates are written before they are joined, so that a very frequent fingerprint or a
     very large component can be split among tasks.
     """
-    prints = written(simhash_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words, second=both > 0))
+    prints = written(simhash_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words))
     smallest = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = simhash_links(prints, threshold, parts, both)
+    links = simhash_links(prints, threshold)
     roots = connected_components(links)
     joined = written(smallest.join(roots, smallest.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
     drop_written(docs.sparkSession, smallest, roots)

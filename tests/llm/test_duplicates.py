@@ -121,7 +121,7 @@ def test_simhash_table(spark, docs, clashing, empty):
     assert S.simhash_classes(empty).count() == 0
 
 
-@pytest.mark.parametrize("parts,threshold", [(S.HALVES, 4), (S.HALVES, 3), (S.THIRDS, 11)])
+@pytest.mark.parametrize("parts,threshold", [(S.HALVES, 4), (S.HALVES, 3), (S.THIRDS, 11), (S.EXACT_HALVES, 4), (S.HAMMING_HALVES, 4), (None, 4)])
 def test_no_link_is_missed(spark, parts, threshold, monkeypatch):
     """Chains and crowds of fingerprints; crowded anchors are dealt to several tasks."""
     monkeypatch.setattr(S, "RESIDENTS", 8)
