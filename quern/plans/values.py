@@ -19,8 +19,8 @@ FROM (SELECT p_partkey, p_type, string_split(replace(upper(p_type) || '_' || p_n
 def snake_and_level(t, spark):
     """Snake case as camel case, and names of levels without a prefix."""
     snake = F.replace(F.concat(F.upper("p_type"), lit("_"), "p_name", lit("_bAZ")), lit(" "), lit("_"))
-    level = F.when(col("p_type") == "PROMO", "minecraft_world").otherwise("other_world")
-    return t("part").select("p_partkey", S.snake_to_camel(snake).alias("camel"), S.without_prefix(level, "minecraft_").alias("level"))
+    level = F.when(col("p_type") == "PROMO", "base_world").otherwise("other_world")
+    return t("part").select("p_partkey", S.snake_to_camel(snake).alias("camel"), S.without_prefix(level, "base_").alias("level"))
 
 
 @query("""WITH n AS (SELECT event_id, (event_id - 400) * 7000000000 AS d FROM events)
