@@ -12,7 +12,7 @@ The components of all these links only say where to look; inside each, the simil
 a pivot, compared with all that are open. The Jaccard distance is a metric, so two texts whose distances from a pivot
 differ by more than the bound are no near copies. A text is closed once all others that it could be linked to are
 linked to the same pivot; a tight group needs few pivots. Components of up to HELD_SHINGLES shingles are done in one task.
-Larger ones are dealt to many: each round, every share of a component meets the component's pivot, and what stays open goes
+Larger ones are dealt to many: each round, every share of a component meets the same few pivots, and what stays open goes
 on, until it fits into one task.
 """
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -35,6 +35,8 @@ BANDS, ROWS = 32, 5
 PRINT_BITS = 4
 #: Shingles of a component up to which one task handles it whole; larger ones are dealt to shares of that size.
 HELD_SHINGLES = 2_000_000
+#: Pivots of a component that a round compares its texts with, at most.
+PIVOTS = 64
 #: Steps from 0 to 1 in which the distances of a component's other texts from its pivot are told.
 DISTANCES = 100
 #: Seed of the numbers that deal the hash values anew for each minimum.
@@ -151,56 +153,82 @@ def _in_tasks(texts: DataFrame, words: int, least: float) -> DataFrame:
 
 
 def _round(now: DataFrame, large: DataFrame, words: int, least: float) -> DataFrame:
-    """(root, k, size, text, pivot, apart, linked): the texts of large components and their distance from the pivot, which has no row."""
+    """(root, k, size, text, chosen, pivots, aparts): the texts of large components, whether they are pivots themselves, and their
+    distances from the other pivots of the component.
+
+    ``large`` has root, shares, draw (how many texts a pivot is drawn from) and first (a text that is a pivot in any case). The
+    pivots go to every share of their component, the texts to one.
+    """
     n = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = now.join(large, "root")
-    pivot = placed.where("k = pivot").select("root", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("o"), "k", "size", "text")
-    others = placed.where("k <> pivot").select("root", F.pmod(F.hash("k"), F.col("shares")).alias("share"), F.lit(1).alias("o"), "k", "size", "text")
+    chosen = (F.col("k") == F.col("first")) | (F.pmod(F.xxhash64("k", "first"), F.col("draw")) == 0)
+    placed = now.join(large, "root").withColumn("chosen", chosen)
+    columns = ("root", "share", "o", "k", "size", "text", "chosen")
+    pivots = placed.where("chosen").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("o", F.lit(0))
+    texts = placed.withColumn("share", F.pmod(F.hash("k"), F.col("shares"))).withColumn("o", F.lit(1))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, mine, last = None, np.empty(0, np.uint64), None
+        held: dict[int, np.ndarray] = {}
+        place, last = None, None
         for b in steps(batches):
-            o, k = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("o", "k"))
-            out = []
+            root, share, o, k = (b.column(b.schema.get_field_index(c)).to_pylist() for c in columns[:4])
+            rows, keys, aparts = [], [], []
             for i, t in enumerate(texts_of(b)):
+                if place != (root[i], share[i]):
+                    place, last, held = (root[i], share[i]), None, {}
                 if o[i] == 0:
-                    pivot, mine = k[i], shingles(t, words)
+                    held[k[i]] = shingles(t, words)
                 elif k[i] != last:  # rows that repeat id and text
-                    out.append((i, pivot, 1 - similarity(mine, shingles(t, words))))
-                    last = k[i]
-            if out:
-                rows, pivots, apart = zip(*out, strict=True)
-                kept = b.select(["root", "k", "size", "text"]).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(pivots, pa.int64()), pa.array(apart, pa.float64())], names=["root", "k", "size", "text", "pivot", "apart"])
+                    last, mine = k[i], shingles(t, words)
+                    found = {p: 1 - similarity(theirs, mine) for p, theirs in held.items() if p != last}
+                    rows.append(i)
+                    keys.append(list(found))
+                    aparts.append(list(found.values()))
+            if rows:
+                kept = b.select(["root", "k", "size", "text", "chosen"]).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(keys, pa.list_(pa.int64())), pa.array(aparts, pa.list_(pa.float64()))], names=["root", "k", "size", "text", "chosen", "pivots", "aparts"])
 
-    dealt = pivot.unionByName(others).repartition(n, "root", "share").sortWithinPartitions("root", "share", "o", "k")
-    return dealt.mapInArrow(measure, "root long, k long, size long, text string, pivot long, apart double").withColumn("linked", F.col("apart") <= 1 - least + 1e-12)
+    dealt = pivots.select(*columns).unionByName(texts.select(*columns)).repartition(n, "root", "share").sortWithinPartitions("root", "share", "o", "k")
+    return dealt.mapInArrow(measure, "root long, k long, size long, text string, chosen boolean, pivots array<long>, aparts array<double>")
 
 
 def _states(texts: DataFrame) -> DataFrame:
-    """(root, total, pivot): shingles of each component and its least text."""
-    return written(texts.groupBy("root").agg(F.sum("size").alias("total"), F.min("k").alias("pivot")))
+    """(root, total, n, first): shingles and texts of each component, and its least text."""
+    return written(texts.groupBy("root").agg(F.sum("size").alias("total"), F.count("*").alias("n"), F.min("k").alias("first")))
 
 
 def confirmed(sizes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """Links (node, class) that join exactly the texts of a component that near-copy pairs join. ``sizes`` has root, k and size
     (distinct shingles), ``texts`` root, k, size and text.
 
-    A round closes a component's pivot at least, and the texts linked to it unless some other text lies where it could be
-    near to them. Components that fit into one task leave the rounds.
+    A round closes a component's pivots, and the texts linked to one of them unless some other text lies where it could be
+    near to them. The first round has one pivot, as one is enough for a tight group; each further round has four times as many, up to
+    PIVOTS. Components that fit into one task leave the rounds.
     """
     parts: list[DataFrame] = []
-    now, state, ended = texts, _states(sizes), F.col("total") <= HELD_SHINGLES
+    now, state, ended, pivots = texts, _states(sizes), F.col("total") <= HELD_SHINGLES, 1
+    reach = 1 - least + 1e-9
     while not (over := state.where(~ended)).isEmpty():
         parts.append(written(_in_tasks(now.join(state.where(ended).select("root"), "root", "left_semi"), words, least)))
-        large = over.select("root", "pivot", F.ceil(F.col("total") / HELD_SHINGLES).cast("int").alias("shares"))
+        # so many pivots that their shingles fit into a task as well
+        some = F.greatest(F.lit(1), F.least(F.lit(pivots), F.floor(F.col("n") * HELD_SHINGLES / F.col("total"))))
+        large = over.select("root", "first", F.ceil(F.col("n") / some).alias("draw"), F.ceil(F.col("total") / HELD_SHINGLES).cast("int").alias("shares"))
         measured = written(_round(now, large, words, least))
-        parts.append(measured.where("linked").select(F.col("k").alias("node"), F.col("pivot").alias("class")))
-        told = written(measured.where("not linked").groupBy("root").agg(F.collect_set(F.floor(F.col("apart") * DISTANCES)).alias("told")))
-        reach = 1 - least + 1e-9
-        beside = F.exists("told", lambda x: (x <= (F.col("apart") + reach) * DISTANCES) & (x + 1 >= (F.col("apart") - reach) * DISTANCES))
-        now = measured.join(told, "root", "left").where(~F.col("linked") | F.coalesce(beside, F.lit(False))).select("root", "k", "size", "text")
+        each = F.arrays_zip("pivots", "aparts")
+        near = measured.select("k", F.explode(F.filter(each, lambda x: x["aparts"] <= reach)).alias("x"))
+        parts.append(near.select(F.col("k").alias("node"), F.col("x.pivots").alias("class")))
+        far = measured.where("not chosen").select("root", F.explode(F.filter(each, lambda x: x["aparts"] > reach)).alias("x"))
+        bins = far.groupBy("root", F.col("x.pivots").alias("pivot")).agg(F.collect_set(F.floor(F.col("x.aparts") * DISTANCES)).alias("bins"))
+        told = written(bins.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "bins"))).alias("told")))
+
+        def alone(x: Column) -> Column:
+            """No open text that is not linked to the pivot lies within reach of this distance from it."""
+            beside = lambda y: (y <= (x["aparts"] + reach) * DISTANCES) & (y + 1 >= (x["aparts"] - reach) * DISTANCES)
+            return (x["aparts"] <= reach) & ~F.coalesce(F.exists(F.try_element_at("told", x["pivots"]), beside), F.lit(False))
+
+        open_ = measured.join(told, "root", "left").where(~F.col("chosen") & ~F.exists(each, alone))
+        now = open_.select("root", "k", "size", "text")
         state = _states(now)
+        pivots = min(4 * pivots, PIVOTS)
     links = _in_tasks(now, words, least)
     if not parts:
         return links
@@ -215,7 +243,7 @@ def near_classes(docs: DataFrame, words: int = 5, least: float = 0.8, text: str
     class, a number that near copies share.
 
     Texts without words are one class, equal texts count once, an empty table gives no row, and columns other than id and
-    text are not read. No task holds more than HELD_SHINGLES shingles and two texts of any length.
+    text are not read. No task holds more than about twice HELD_SHINGLES shingles and two texts of any length.
     """
     picked = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
