@@ -47,27 +47,25 @@ def _short(x: Column) -> Column:
 
 
 def _fingerprints(hashed: DataFrame) -> DataFrame:
-    """(ord, th, pos, hash, around, wins): the selected positions of each document, with the hashes of the
-    neighbours up to WINDOW lines away, shortened to 31 bits. Bit k of ``wins`` tells that the position was
-    selected from the window that begins k lines before it; each window has one."""
+    """(ord, th, pos, hash, around, before, after): the selected positions of each document, with the hashes of the
+    neighbours up to WINDOW lines away, shortened to 31 bits.
+
+    ``before`` lines next to a position on the left are not smaller, and ``after`` ones on the right are greater (fewer than
+    WINDOW each). So it is selected from the windows that begin up to ``before`` lines before it and end up to
+    ``after`` lines behind it; every window has exactly one selected position."""
     each = hashed.select("ord", "th", "hashes", F.posexplode("hashes").alias("pos", "hash"))
-    n = F.size("hashes")
-
-    def beats(step: int, k: int) -> Column:
-        """The k neighbours on one side exist and none is smaller (on the right, none is equal either)."""
-        ok = F.lit(True)
-        for j in range(1, k + 1):
-            x = F.get("hashes", F.col("pos") + step * j)
-            ok = ok & F.coalesce(x > F.col("hash") if step > 0 else x >= F.col("hash"), F.lit(False))
-        return ok
-
-    wins = F.lit(0)
-    for left in range(WINDOW):
-        wins = wins + F.when(beats(-1, left) & beats(1, WINDOW - 1 - left), 1 << left).otherwise(0)
-    alone = (n < WINDOW) & (F.col("hash") == F.array_min("hashes"))
-    chosen = each.withColumn("wins", wins).where((F.col("hash") % 2 != 0) | (F.col("wins") > 0) | alone)
+
+    def free(step: int) -> Column:
+        out = F
+        for k in range(1, WINDOW):
+            x = F.get("hashes", F.col("pos") + step * k)
+            out = out.when(~F.coalesce(x > F.col("hash") if step > 0 else x >= F.col("hash"), F.lit(False)), k - 1)
+        return out.otherwise(WINDOW - 1)
+
+    alone = (F.size("hashes") < WINDOW) & (F.col("hash") == F.array_min("hashes"))
+    chosen = each.where((F.col("hash") % 2 != 0) | (free(-1) + free(1) >= WINDOW - 1) | alone)
     around = F.slice("hashes", F.greatest(F.col("pos") - WINDOW + 1, F.lit(1)), F.least(F.col("pos"), F.lit(WINDOW)) + WINDOW + 1)
-    return chosen.select("ord", "th", "pos", "hash", F.transform(around, _short).alias("around"), "wins")
+    return chosen.select("ord", "th", "pos", "hash", F.transform(around, _short).alias("around"), free(-1).alias("before"), free(1).alias("after"))
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -94,7 +92,7 @@ def repeated_runs(hashed: DataFrame) -> DataFrame:
         return F.slice(around, F.least(pos, F.lit(WINDOW)) + 2, F.lit(WINDOW))
 
     mine, other = (F.col("pos"), F.col("around")), (F.col("f.pos"), F.col("f.around"))
-    matched = pairs.select("ord", "th", "pos", "hash", "around", "wins", F.least(F.col("pos"), F.lit(WINDOW)).alias("at"), _agreement(before(*mine), before(*other)).alias("back"), _agreement(after(*mine), after(*other)).alias("on"))
+    matched = pairs.select("ord", "th", "pos", "hash", "around", "before", "after", F.least(F.col("pos"), F.lit(WINDOW)).alias("at"), _agreement(before(*mine), before(*other)).alias("back"), _agreement(after(*mine), after(*other)).alias("on"))
     inside = F.slice("around", F.col("at") + 1 - F.col("back"), F.col("back") + 1 + F.col("on"))
     enough = (F.col("back") + 1 + F.col("on") >= WINDOW) | F.exists(inside, lambda x: x % 2 != 0)
 
@@ -104,7 +102,7 @@ def repeated_runs(hashed: DataFrame) -> DataFrame:
     def left_out(size: int, lead: int) -> Column:
         """The ``size`` lines from ``lead`` before the fingerprint, if they are there and go beyond the match."""
         ok = (F.col("at") >= lead) & (F.col("at") - lead + size <= F.size("around")) & ((F.col("back") < lead) | (F.col("on") < size - 1 - lead))
-        ok = ok & (F.col("wins").bitwiseAND(F.lit(1 << lead)) != 0) if size == WINDOW else ok & (F.col("hash") % 2 != 0)
+        ok = ok & (F.col("before") >= lead) & (F.col("after") >= WINDOW - 1 - lead) if size == WINDOW else ok & (F.col("hash") % 2 != 0)
         start = F.col("pos") - lead
         return F.when(ok, run(start, start + size, F.xxhash64(F.lit(size), F.slice("around", F.col("at") - lead + 1, F.lit(size)))))
 
