@@ -1,16 +1,15 @@
 """Operator 4: SimHash fingerprints and near-duplicate classes by anchor-point covering.
 
-The anchors are a covering code. The 64 bits of a fingerprint are two halves; each half is a block
-of 23 bits (perfect Golay code, covering radius 3) and 9 bits kept as they are. Two fingerprints that
-differ in at most t bits differ in at most t // 2 bits in one of the halves. There, the second one lies within t // 2 more
-than the covering radius of the first one's nearest anchor. So each distinct fingerprint goes to
-its nearest anchor of either half as a resident, and to every anchor within covering radius plus
+The anchors are a covering code. The 64 bits of a fingerprint are two halves; each half is made of blocks of
+23 bits (perfect Golay code, covering radius 3), blocks of 7 bits (perfect Hamming code, covering radius 1) and bits kept
+as they are. Two fingerprints that differ in at most t bits differ in at most t // 2 bits in one of the halves.
+There, the second one lies within t // 2 more than the covering radius of the first one's nearest anchor. So each distinct
+fingerprint goes to its nearest anchor of either half as a resident, and to every anchor within covering radius plus
 t // 2 as a visitor; residents are compared with the visitors of their anchor, and no link is missed.
 
-A half has 2**21 anchors, and at t = 4 a fingerprint visits about 105 of them. What an anchor compares grows with the
-fingerprints of the corpus. Beyond MANY of them every value of a half is an anchor of its own (covering radius 0): five
-times the visits, but so many anchors that few fingerprints share one. Blocks of 7 bits (perfect Hamming code) and other
-layouts are allowed too.
+What an anchor compares grows with the fingerprints of the corpus, so their number decides between three layouts, all of them
+complete. At t = 4 a fingerprint visits about 54 of 2**18 anchors of a half, 100 of 2**21, or 529 of 2**32, where every
+value of a half is an anchor of its own.
 
 What an anchor finds leaves it as spanning links, at most one for each fingerprint, so a large
 group of near copies makes a line of links for each member and not all pairs.
@@ -36,12 +35,12 @@ from .shared import drop_written, steps, texts_of, written
 GOLAY = (23, 0b101011100011, 3)
 HAMMING = (7, 0b1011, 1)
 #: Parts of a fingerprint, each (lowest bit, bits in a Golay code, bits in a Hamming code, bits kept as they are).
+HAMMING_HALVES = ((0, 23, 7, 2), (32, 23, 7, 2))
 HALVES = ((0, 23, 0, 9), (32, 23, 0, 9))
 EXACT_HALVES = ((0, 0, 0, 32), (32, 0, 0, 32))
-HAMMING_HALVES = ((0, 23, 7, 2), (32, 23, 7, 2))
 THIRDS = ((0, 21, 0, 0), (21, 21, 0, 0), (42, 22, 0, 0))
-#: Distinct fingerprints beyond which every value of a half is an anchor.
-MANY = 1 << 30
+#: Layouts by the number of distinct fingerprints up to which each is used.
+LAYOUTS = ((1 << 24, HAMMING_HALVES), (1 << 30, HALVES), (1 << 64, EXACT_HALVES))
 #: Seed of the XXH64 values.
 SEED = 42
 #: Pairs compared in one vectorised step.
@@ -211,12 +210,12 @@ def _compare(group: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int
 
 def simhash_links(prints: DataFrame, threshold: int = 4, parts: tuple | None = None) -> DataFrame:
     """Links (``u``, ``v``) between distinct fingerprints ``fp`` at ``threshold`` or fewer differing bits, enough
-    of them to connect all that are linked. ``parts`` says where the anchors lie; by default there are more of
-    them for very many fingerprints."""
+    of them to connect all that are linked. ``parts`` says where the anchors lie; by default LAYOUTS does."""
     distinct = prints.where("fp is not null").select("fp").distinct()
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if parts is None:
-        parts = HALVES if distinct.count() <= MANY else EXACT_HALVES
+        found = distinct.count()
+        parts = next(layout for upto, layout in LAYOUTS if found <= upto)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,7 +263,8 @@ def simhash_links(prints: DataFrame, threshold: int = 4, parts: tuple | None = N
         if held:
             yield from flush(numbered(tuple(np.concatenate(x) for x in zip(*held, strict=True))))
 
-    sent = distinct.mapInArrow(replicate, "anchor long, fp long, home boolean")
+    # so few and small rows would else be replicated by very few tasks
+    sent = distinct.repartition(n).mapInArrow(replicate, "anchor long, fp long, home boolean")
     homes = distinct.mapInArrow(residents, "anchor long").groupBy("anchor").count().where(F.col("count") > RESIDENTS)
     crowded = written(homes.select("anchor", F.ceil(F.col("count") / RESIDENTS).cast("int").alias("shares")))
     if crowded.isEmpty():
