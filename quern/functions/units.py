@@ -35,14 +35,35 @@ NAMES = {
 _STEPS = (("d", " day"), ("h", " hour"), ("m", " minute"), ("s", "s"))
 
 
-def decimal_unit(nanos: Column) -> Column:
-    """Nanoseconds in their largest unit with two decimals; below 1000 as they are, then milliseconds up to a second."""
-    out = F.when(nanos < 1000, F.concat(nanos.cast("string"), F.lit("ns"))).when(nanos < SECOND, F.concat(F.format_string("%.2f", nanos / NANOS["ms"]), F.lit("ms")))
-    for (unit, label), above in zip(reversed(_STEPS), ("m", "h", "d", None), strict=True):
-        value = nanos / NANOS[unit]
-        shown = F.concat(F.format_string("%.2f", value), F.lit(label), F.when(F.lit(label.startswith(" ")) & (value != 1), "s").otherwise(""))
-        out = out.when(nanos < NANOS[above], shown) if above else out.otherwise(shown)
-    return out
+def _two_decimals(value: Column) -> Column:
+    """A number from 0.001 to 2**53 with two decimals, rounded as C's ``%.2f`` does: by its exact binary value, ties to even.
+
+    ``format_string`` rounds the shortest decimal form half up: 0.125 gives 0.13, and 1.005, which is a little less as a double, 1.01.
+    So what is near a tie is rounded in whole numbers.
+    """
+    whole = F.floor(value)
+    part = ((value - whole) * 2.0**62).cast("long")
+    low = part.bitwiseAND(F.lit(2**31 - 1)) * 25
+    top = F.shiftright(part, 31) * 25 + F.shiftright(low, 31)
+    left = top.bitwiseAND(F.lit(2**29 - 1)) * 2**31 + low.bitwiseAND(F.lit(2**31 - 1))
+    down = whole * 100 + F.shiftright(top, 29)
+    cents = down + ((left > 2**59) | ((left == 2**59) & (down % 2 == 1))).cast("long")
+    exact = F.format_string("%d.%02d", F.call_function("div", cents, F.lit(100)), cents % 100)
+    return F.when(F.abs(value * 100 - F.floor(value * 100) - 0.5) < 0.001, exact).when(value.isNotNull(), F.format_string("%.2f", value))
+
+
+def decimal_unit(nanos: Column, largest: str = "d") -> Column:
+    """Nanoseconds in their largest unit, ``largest`` at most, with two decimals; below 1000 as they are, then milliseconds up to a second."""
+    number = nanos.cast("double")
+    value, label = F.when(nanos < SECOND, number / NANOS["ms"]), F.when(nanos < SECOND, "ms")
+    for (unit, name), above in zip(reversed(_STEPS), ("m", "h", "d", None), strict=True):
+        amount = number / NANOS[unit]
+        shown = F.when(amount != 1, name + "s").otherwise(name) if name.startswith(" ") else F.lit(name)
+        if unit == largest or not above:
+            value, label = value.otherwise(amount), label.otherwise(shown)
+            break
+        value, label = value.when(nanos < NANOS[above], amount), label.when(nanos < NANOS[above], shown)
+    return F.when(nanos < 1000, F.concat(nanos.cast("string"), F.lit("ns"))).otherwise(F.concat(_two_decimals(value), label))
 
 
 def whole_unit(nanos: Column) -> Column:

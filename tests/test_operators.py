@@ -49,6 +49,17 @@ def test_whole_units(spark, nanos, whole):
     assert one(spark, U.whole_unit(F.lit(nanos).cast("long")))[0] == whole
 
 
+def test_decimal_units_round_as_printf(spark):
+    ties = [125_000 * k for k in range(1, 400)] + [5_000 * k for k in range(1, 400)] + [300_000_000 * k for k in range(201, 600)] + [125_000_000 * k for k in range(8, 480)]
+    nanos = ties + [1000, 999_999_999, 59_999_999_999, 3_599_999_999_999] + [k * k * 7_919 + 1000 for k in range(1, 20_000, 37)]
+    got = spark.createDataFrame([(n,) for n in nanos], "n long").select("n", U.decimal_unit(F.col("n"), largest="m").alias("s")).collect()
+    for n, s in got:
+        value, unit = (n / 1e6, "ms") if n < 10**9 else (n / 1e9, "s") if n < 6 * 10**10 else (n / 6e10, " minute" if n == 6 * 10**10 else " minutes")
+        assert s == "%.2f" % value + unit
+    r = one(spark, U.decimal_unit(F.lit(5_400 * U.SECOND)), U.decimal_unit(F.lit(5_400 * U.SECOND), largest="m"), U.decimal_unit(F.lit(36 * 3_600 * U.SECOND)), U.decimal_unit(F.lit(None).cast("long")))
+    assert tuple(r) == ("1.50 hours", "90.00 minutes", "1.50 days", None)
+
+
 def test_spans(spark):
     rows = spark.createDataFrame([("5 MIN",), ("2mo",), ("-1s",), ("1.5s",), ("3 parsecs",)], "s string").select(U.parse_span(F.col("s")).alias("p")).collect()
     assert [r.p and tuple(r.p) for r in rows] == [(5, "m"), (2, "mo"), None, None, None]
