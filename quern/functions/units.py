@@ -67,10 +67,14 @@ def decimal_unit(nanos: Column, largest: str = "d") -> Column:
 
 
 def whole_unit(nanos: Column) -> Column:
-    """Nanoseconds in their largest unit, cut to a whole number; 1000 to 999999 give 0ms."""
-    out = F.when(nanos < 1000, F.concat(nanos.cast("string"), F.lit("ns"))).when(nanos < SECOND, F.concat(F.floor(nanos / NANOS["ms"]).cast("string"), F.lit("ms")))
+    """Nanoseconds (a long or a decimal without fraction) in their largest unit, cut to a whole number; 1000 to 999999 give 0ms."""
+
+    def whole(unit: str) -> Column:
+        return F.call_function("div", nanos, F.lit(NANOS[unit]))
+
+    out = F.when(nanos < 1000, F.concat(nanos.cast("string"), F.lit("ns"))).when(nanos < SECOND, F.concat(whole("ms").cast("string"), F.lit("ms")))
     for (unit, label), above in zip(reversed(_STEPS), ("m", "h", "d", None), strict=True):
-        value = F.floor(nanos / NANOS[unit]).cast("long")
+        value = whole(unit)
         shown = F.concat(value.cast("string"), F.lit(label), F.when(F.lit(label.startswith(" ")) & (value != 1), "s").otherwise(""))
         out = out.when(nanos < NANOS[above], shown) if above else out.otherwise(shown)
     return out

@@ -49,6 +49,11 @@ def test_whole_units(spark, nanos, whole):
     assert one(spark, U.whole_unit(F.lit(nanos).cast("long")))[0] == whole
 
 
+@pytest.mark.parametrize("nanos,whole", [(86_400 * U.SECOND * 100_000 - 1, "99999 days"), (86_400 * U.SECOND * 100_000, "100000 days"), (2**63 - 1, "106751 days")])
+def test_whole_units_are_not_rounded_up(spark, nanos, whole):
+    assert one(spark, U.whole_unit(F.lit(nanos).cast("long")))[0] == whole
+
+
 def test_decimal_units_round_as_printf(spark):
     ties = [125_000 * k for k in range(1, 400)] + [5_000 * k for k in range(1, 400)] + [300_000_000 * k for k in range(201, 600)] + [125_000_000 * k for k in range(8, 480)]
     nanos = ties + [1000, 999_999_999, 59_999_999_999, 3_599_999_999_999] + [k * k * 7_919 + 1000 for k in range(1, 20_000, 37)]
