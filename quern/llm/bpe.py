@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import steps, texts_of
+from .shared import released, steps, texts_of
 
 #: Entries after which the cache of words starts anew.
 CACHE_WORDS = 700_000
@@ -403,4 +403,4 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text",
             texts = [c.decode(x) for x in np.split(ids, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], list_array(ids, counts, pa.int32()), pa.array(texts, pa.string())], names=schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(released(run), schema)

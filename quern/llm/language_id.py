@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import steps, texts_of
+from .shared import released, steps, texts_of
 
 #: N-grams in a profile.
 PROFILE = 300
@@ -135,7 +135,7 @@ def learn_profiles(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str =
                 total = np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(keys), pa.string()), pa.array(keys), pa.array(total)], names=["lang", "gram", "n"])
 
-    total = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    total = sample.mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     rows = total.withColumn("place", place).where(F.col("place") <= PROFILE).collect()
     languages = sorted({r["lang"] for r in rows})
@@ -161,4 +161,4 @@ def identify_language(docs: DataFrame, profiles: Profiles, text: str = "text", n
             got = [profiles.predict(t) for t in texts_of(b, "__text")]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(released(run), schema)

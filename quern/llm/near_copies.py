@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import drop_written, steps, texts_of, written
+from .shared import drop_written, released, steps, texts_of, written
 from .simhash import SEED, majority, shingle_hashes, simhash_links
 
 BANDS, ROWS = 32, 5
@@ -149,7 +149,7 @@ def _in_tasks(texts: DataFrame, words: int, least: float) -> DataFrame:
             yield done()
 
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.select("root", "k", "text").repartition(n, "root").sortWithinPartitions("root", "k").mapInArrow(confirm, "node long, class long")
+    return texts.select("root", "k", "text").repartition(n, "root").sortWithinPartitions("root", "k").mapInArrow(released(confirm), "node long, class long")
 
 
 def _round(now: DataFrame, large: DataFrame, words: int, least: float) -> DataFrame:
@@ -188,7 +188,7 @@ def _round(now: DataFrame, large: DataFrame, words: int, least: float) -> DataFr
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(keys, pa.list_(pa.int64())), pa.array(aparts, pa.list_(pa.float64()))], names=["root", "k", "size", "text", "chosen", "pivots", "aparts"])
 
     dealt = pivots.select(*columns).unionByName(texts.select(*columns)).repartition(n, "root", "share").sortWithinPartitions("root", "share", "o", "k")
-    return dealt.mapInArrow(measure, "root long, k long, size long, text string, chosen boolean, pivots array<long>, aparts array<double>")
+    return dealt.mapInArrow(released(measure), "root long, k long, size long, text string, chosen boolean, pivots array<long>, aparts array<double>")
 
 
 def _states(texts: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def near_classes(docs: DataFrame, words: int = 5, least: float = 0.8, text: str
             made = [pa.array(x, pa.int64()) for x in (keys, sizes, prints)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, pa.array(all_bands, pa.list_(pa.int64()))], names=["doc_id", "h", "k", "size", "fp", "bands"])
 
-    signed = written(picked.mapInArrow(sign, f"doc_id {kind}, h long, k long, size long, fp long, bands array<long>"))
+    signed = written(picked.mapInArrow(released(sign), f"doc_id {kind}, h long, k long, size long, fp long, bands array<long>"))
     roots = written(connected_components(_links(signed)))
     one = written(signed.groupBy("k").agg(F.min(F.struct("doc_id", "h", "size")).alias("s")).join(roots, F.col("k") == F.col("node")).select("k", "root", F.col("s.size").alias("size"), F.col("s.doc_id").alias("d"), F.col("s.h").alias("t")))
     texts = picked.join(one, (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("t"))).select("root", "k", "size", "text")

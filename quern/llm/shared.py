@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -40,3 +42,24 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     """The column as Python strings, null as the empty string."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+
+
+def give_back() -> None:
+    """Return freed memory to the system; by themselves the allocators of Arrow and C keep most of it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, with its freed memory given back at the end of each task.
+
+    Spark keeps workers for later tasks and beside later stages that run no Python at all, which need the memory for the JVM."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped

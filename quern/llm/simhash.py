@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import drop_written, steps, texts_of, written
+from .shared import drop_written, released, steps, texts_of, written
 
 #: Perfect codes as (length, generator polynomial, covering radius); fixed values.
 GOLAY = (23, 0b101011100011, 3)
@@ -95,7 +95,7 @@ def simhash_fingerprints(docs: DataFrame, words: int = 4, text: str = "text", ke
             got = np.array([fingerprint(t, words) for t in texts_of(b, "__text")], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got.view(np.int64))], names=schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(released(run), schema)
 
 
 class Patterns:
@@ -264,8 +264,8 @@ def simhash_links(prints: DataFrame, threshold: int = 4, parts: tuple | None = N
             yield from flush(numbered(tuple(np.concatenate(x) for x in zip(*held, strict=True))))
 
     # so few and small rows would else be replicated by very few tasks
-    sent = distinct.repartition(n).mapInArrow(replicate, "anchor long, fp long, home boolean")
-    homes = distinct.mapInArrow(residents, "anchor long").groupBy("anchor").count().where(F.col("count") > RESIDENTS)
+    sent = distinct.repartition(n).mapInArrow(released(replicate), "anchor long, fp long, home boolean")
+    homes = distinct.mapInArrow(released(residents), "anchor long").groupBy("anchor").count().where(F.col("count") > RESIDENTS)
     crowded = written(homes.select("anchor", F.ceil(F.col("count") / RESIDENTS).cast("int").alias("shares")))
     if crowded.isEmpty():
         dealt = sent.select("anchor", F.lit(0).alias("share"), "fp", "home")
@@ -275,7 +275,7 @@ def simhash_links(prints: DataFrame, threshold: int = 4, parts: tuple | None = N
         home = all_of.where("home").select("anchor", "fp", (own * F.col("shares")).alias("row"), F.explode(each).alias("k")).select("anchor", (F.col("row") + F.col("k")).alias("share"), "fp", F.lit(True).alias("home"))
         away = all_of.select("anchor", "fp", "shares", own.alias("own"), F.explode(each).alias("k")).select("anchor", (F.col("k") * F.col("shares") + F.col("own")).alias("share"), "fp", F.lit(False).alias("home"))
         dealt = home.unionByName(away)
-    return dealt.repartition(n, "anchor", "share").sortWithinPartitions("anchor", "share", F.desc("home")).mapInArrow(compare, "u long, v long")
+    return dealt.repartition(n, "anchor", "share").sortWithinPartitions("anchor", "share", F.desc("home")).mapInArrow(released(compare), "u long, v long")
 
 
 def simhash_classes(docs: DataFrame, words: int = 4, threshold: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
